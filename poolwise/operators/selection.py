@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from poolwise.functions.scalars import md5_key
+from poolwise.functions.scalars import eval_error, md5_key
 
 # Default sweep parameters.
 K_VALUES = (1, 4, 8)
@@ -74,7 +74,7 @@ def pool_aggregates(tasks: DataFrame, candidates: DataFrame, ks: Sequence[int] =
     by = list(by)
     attrs = tasks.columns
     pool = candidates.where(F.col("cand_idx") < max(ks)).select(
-        *by, "cand_idx", "parseable", "correct", "solvable", "score", "score_b",
+        *by, "cand_idx", "parseable", "correct", "solvable", "score", "score_b", "error",
         (F.length(F.coalesce("error", F.lit(""))) > 0).alias("has_error"))
     rows = tasks.join(pool, by, "left").withColumn("slot", _slot())
 
@@ -92,6 +92,7 @@ def pool_aggregates(tasks: DataFrame, candidates: DataFrame, ks: Sequence[int] =
     inside = F.coalesce(F.col("cand_idx") < F.col("k"), F.lit(False))
     parse = inside & F.col("parseable")
     solve = parse & F.col("solvable")
+    right, wrong = parse & F.col("correct"), parse & ~F.col("correct")
     next_best = W.partitionBy(*by, "k").orderBy(parse.desc(), "by_score")
     rows = rows.withColumn("runner_up", F.lead(F.when(parse, F.col("score"))).over(next_best))
     draw = F.conv(F.substring(md5_key(seed, *[F.col(c) for c in by], F.col("k"), F.col("cand_idx")), 1, 15),
@@ -123,6 +124,15 @@ def pool_aggregates(tasks: DataFrame, candidates: DataFrame, ks: Sequence[int] =
         F.stddev_pop(F.when(parse, F.col("score"))).alias("score_std"),
         F.min(F.when(parse, F.col("score"))).alias("score_min"),
         F.count(F.when(parse, F.col("score"))).alias("scored_count"),
+        pick(right, "by_score").alias("best_correct"),
+        score_at(right, "by_score").alias("best_correct_score"),
+        pick(wrong, "by_score").alias("best_wrong"),
+        score_at(wrong, "by_score").alias("best_wrong_score"),
+        score_at(inside, "slot", "error").alias("first_error"),
+        score_at(parse, "by_score", "error").alias("top_error"),
+        F.min_by("error", F.when(parse, draw)).alias("drawn_error"),
+        F.count_if(right).alias("parseable_correct_count"),
+        F.count_if((F.col("cand_idx") < 4) & F.col("correct")).alias("correct_count_4"),
         F.count_if(inside).alias("candidate_count"),
         F.count_if(parse).alias("parseable_count"),
         F.count_if(solve).alias("solvable_count"),
@@ -296,6 +306,21 @@ def replay_policies(margins: Sequence[float] = MARGINS, alphas: Sequence[float]
 
 # ---------------------------------------------------------------- results
 
+def pick_struct(key: Column, reason: Column, score: Column, error: Column) -> Column:
+    """A pick with its flags as one struct; ``key`` is any pick column of the aggregates."""
+    slot = _slot_of(key)
+    parseable = _flag(slot, "parseable")
+    return F.struct(
+        _index(slot).alias("selected_index"), reason.alias("reason"), parseable.alias("parseable"),
+        _flag(slot, "correct").alias("correct"), score.alias("score"),
+        eval_error(_index(slot), reason, parseable, error).alias("error"))
+
+
+def pick_index(key: str) -> Column:
+    return _index(_slot_of(F.col(key)))
+
+
+
 def select(aggregates: DataFrame, policies: dict[str, Policy], keep: Sequence[str]) -> DataFrame:
     """Long form: one row per kept key, K and policy."""
     picks = F.array(*[

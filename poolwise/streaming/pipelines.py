@@ -1,0 +1,65 @@
+"""Streaming ingest and running progress metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from poolwise import schemas
+from poolwise.session import work_path
+from poolwise.sources.tables import stream
+
+
+def read_arrivals(spark: SparkSession, folder: str, pattern: str = "events.parquet",
+                  files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming read of the event files of a folder."""
+    reader = spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", pattern)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return stream(reader.parquet(folder))
+
+
+def ingest(arrivals: DataFrame, path: str, checkpoint: str, key: str = "event_id",
+           delay: str = "1 day") -> StreamingQuery:
+    """Appends new arrivals to a parquet table; a key seen before within the delay is skipped.
+
+    A restart with the same checkpoint continues where the last run stopped.
+    """
+    fresh = arrivals.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+    return (fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start())
+
+
+def progress(arrivals: DataFrame, total: int | None = None) -> DataFrame:
+    """Running counts, latency and rates per status."""
+    return arrivals.groupBy("status").agg(
+        F.count(F.lit(1)).alias("done"), F.sum("latency_sec").alias("elapsed_sec"),
+        F.max("ts").alias("last_ts"))
+
+
+def write_progress(snapshot: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the latest snapshot as a table; a repeated batch writes the same content again."""
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+    return (snapshot.writeStream.outputMode("complete").foreachBatch(upsert)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def snapshot_report(state: DataFrame, total: int) -> DataFrame:
+    """Progress per status: done, remaining of ``total``, mean seconds per row and expected rest."""
+    mean = F.col("elapsed_sec") / F.greatest(F.col("done"), F.lit(1))
+    left = F.greatest(F.lit(0), F.lit(total) - F.col("done"))
+    return state.select("status", "done", left.alias("remaining"), F.round("elapsed_sec", 4).alias("elapsed_sec"),
+                        F.round(mean, 6).alias("avg_sec_per_row"), F.round(mean * left, 4).alias("eta_sec"))
+
+
+def run_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    path, checkpoint = work_path(spark, "ingest"), work_path(spark, "ingest-checkpoint")
+    ingest(read_arrivals(spark, folder), path, checkpoint).awaitTermination()
+    return spark.read.parquet(path)
+
+
+def run_progress(spark: SparkSession, folder: str) -> DataFrame:
+    path, checkpoint = work_path(spark, "progress"), work_path(spark, "progress-checkpoint")
+    write_progress(progress(read_arrivals(spark, folder)), path, checkpoint).awaitTermination()
+    return spark.read.parquet(path)
