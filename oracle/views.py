@@ -75,7 +75,7 @@ FROM events"""
 
 # Shared intermediate results, each in plain window SQL.
 KS = "SELECT CAST(unnest([1, 4, 8]) AS INT) AS k"
-KS48 = "SELECT CAST(unnest([4, 8]) AS INT) AS k"
+
 SLOTS = "SELECT t.*, k FROM tasks t CROSS JOIN ks"
 POOL = "SELECT c.*, k FROM candidates c JOIN ks ON c.cand_idx < k"
 

@@ -185,20 +185,26 @@ def pointwise_from_pools(rows: DataFrame, *, positives: int = MAX_POSITIVES, neg
 
     The pair limit ends the negatives of a positive, not the list of positives.
     """
-    chosen = _chosen(rows, positives, negatives, fallback)
-    counts = W.partitionBy(*GROUP)
-    chosen = chosen.select("*", F.count_if(F.col("correct")).over(counts).alias("used_pos"),
-                           F.count_if(~F.col("correct")).over(counts).alias("used_neg"))
-    chosen = chosen.where(F.col("used_neg") > 0)
-    # Pair (p, n) has number (p - 1) * used_neg + n, so negative n is used by this many positives:
-    uses = F.greatest(F.lit(0), F.least(
-        F.col("used_pos"), F.floor((F.lit(max_pairs) - F.col("rn")) / F.col("used_neg")) + 1)).cast("int")
-    repeat = F.when(F.col("correct"), 1).otherwise(uses)
-    mixed = (chosen.where(repeat > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), repeat))))
-    one_sided = rows.where((F.col("n_pos") == 0) | (F.col("n_neg") == 0)).where(
-        F.col("rank") <= F.when(F.col("correct"), positives).otherwise(negative_only)).withColumn("copy", F.lit(1))
-    return (_examples(mixed, F.when(F.col("correct"), "pair_positive").otherwise("pair_negative"))
-            .unionByName(_examples(one_sided, F.when(F.col("correct"), "positive_only").otherwise("negative_only"))))
+    right = F.col("correct")
+    mixed = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    rows = rows.withColumn("bucket", F.when(right | ~mixed, 0).otherwise(_bucket()))
+    if not fallback:
+        rows = rows.where(F.col("bucket") < 4)
+    group = W.partitionBy(*GROUP)
+    rows = rows.select("*", F.row_number().over(_by(F.col("bucket"))).alias("rn"),
+                       F.least(F.count_if(~right).over(group), F.lit(negatives)).alias("used_neg"),
+                       F.least(F.col("n_pos"), F.lit(positives)).alias("used_pos"))
+    rn, used_neg = F.col("rn"), F.col("used_neg")
+    # Pair (p, n) has number (p - 1) * used_neg + n, so negative n is in a pair with this many positives:
+    partners = F.least(F.col("used_pos"),
+                       F.floor((F.lit(max_pairs) - rn) / F.greatest(used_neg, F.lit(1))) + 1)
+    copies = (F.when(mixed & right, F.when((rn <= positives) & (used_neg > 0), 1))
+              .when(mixed, F.when(rn <= negatives, partners))
+              .otherwise(F.when(rn <= F.when(right, positives).otherwise(negative_only), 1)))
+    used = rows.withColumn("copies", copies.cast("int")).where("copies > 0")
+    source = (F.when(mixed, F.when(right, "pair_positive").otherwise("pair_negative"))
+              .otherwise(F.when(right, "positive_only").otherwise("negative_only")))
+    return _examples(used.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), source)
 
 
 def pos_neg_pairs(rows: DataFrame, positives: int = MAX_POSITIVES, negatives: int = MAX_NEGATIVES) -> DataFrame:
