@@ -41,7 +41,7 @@ def lookup(table: dict, tail: str = "") -> str:
 
 
 NL = "chr(10)"
-PROMPT = f"""concat({s(X.SYSTEM_PROMPT)}, {NL}, {NL}, coalesce(concat({lookup(CONTEXTS)}, {NL}, {NL}), ''),
+PROMPT = f"""concat({s(X.SYSTEM_PROMPT)}, {NL}, {NL}, coalesce({lookup(CONTEXTS)} || {NL} || {NL}, ''),
   'Task description:', {NL}, nl, {NL}, {NL}, 'PDDL problem definition:')"""
 FEEDBACK = """concat('The candidate PDDL parses successfully. The current verifier score for this candidate is ',
   printf('%.4f', original_score), '. A lightweight planner check says the candidate is ',
@@ -52,7 +52,7 @@ FEEDBACK = """concat('The candidate PDDL parses successfully. The current verifi
 
 def repair_prompt(feedback: str) -> str:
     return f"""concat(coalesce({lookup(SPECIAL)},
-      concat({s(X.REPAIR_PROMPT)}, coalesce(concat({NL}, {NL}, {lookup(CONTEXTS)}), ''))), {NL}, {NL},
+      concat({s(X.REPAIR_PROMPT)}, coalesce({NL} || {NL} || {lookup(CONTEXTS)}, ''))), {NL}, {NL},
       'Task description:', {NL}, nl, {NL}, {NL}, 'Candidate PDDL (may contain errors):', {NL}, original_payload, {NL}, {NL},
       CASE WHEN {feedback} <> '' THEN concat('Issues identified: ', {feedback}, {NL}, {NL}) ELSE '' END,
       'Corrected PDDL problem definition:')"""

@@ -115,8 +115,8 @@ FROM ranked a JOIN ranked_b b USING (task_id, k) JOIN greedy g USING (task_id, k
 
 # Normalised ranks, by normalising every candidate and ranking the rounded value.
 define("normalised", """
-SELECT p.*, n, round((score - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 9) AS z,
-       round((score - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 9) AS mm
+SELECT p.*, n, (score - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END AS z,
+       (score - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END AS mm
 FROM pool p JOIN (SELECT task_id, k, count(score) AS n, avg(score) AS mu, stddev_pop(score) AS sd, min(score) AS lo, max(score) AS hi
                   FROM pool WHERE parseable GROUP BY task_id, k) USING (task_id, k)
 WHERE parseable""", "pool")
@@ -126,7 +126,7 @@ SELECT s.task_id, s.k, 'score_normalized_{name}' AS policy, p.cand_idx AS select
        CASE WHEN p.cand_idx IS NULL THEN 'no_parseable_candidate' WHEN p.n = 0 THEN 'no_finite_scores' ELSE '{name}' END AS reason,
        coalesce(p.parseable, false) AS parseable, coalesce(p.correct, false) AS correct, coalesce(p.solvable, false) AS solvable,
        p.score AS score, p.{col} AS norm
-FROM slots s LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id, k ORDER BY {col} DESC NULLS LAST, cand_idx) AS rn
+FROM slots s LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id, k ORDER BY round({col}, 9) DESC NULLS LAST, cand_idx) AS rn
   FROM normalised) WHERE rn = 1) p USING (task_id, k)""", "slots", "normalised")
 define("penalty", """
 SELECT s.task_id, s.k, 'hybrid_rank_index_penalty_a' || s.al AS policy, p.cand_idx AS selected_index,

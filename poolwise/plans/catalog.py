@@ -1,6 +1,7 @@
 """All named queries."""
 
-from poolwise.plans import compare, logs, scalars, selection  # noqa: F401
+from poolwise.plans import (  # noqa: F401
+    calibration, compare, facts, logs, metrics, mining, scalars, selection, streaming)
 from poolwise.plans.registry import QUERIES
 
 
