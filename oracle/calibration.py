@@ -59,7 +59,7 @@ SQL["best_threshold"] = q("SELECT threshold, f1 FROM sweep ORDER BY f1 DESC, thr
 SQL["risk_coverage"] = q("""
 SELECT threshold, a / n AS coverage, a AS accepted_n, n - a AS rejected_n, CASE WHEN a > 0 THEN tp / a END AS selective_accuracy,
        CASE WHEN a > 0 THEN round(1.0 - tp / a, 9) END AS selective_risk, CASE WHEN a > 0 THEN 2 * tp / (a + tp) END AS selective_f1,
-       CASE WHEN a > 0 THEN tp / a END AS selective_precision, CASE WHEN a > 0 THEN CASE WHEN tp > 0 THEN 1.0 ELSE 0.0 END END AS selective_recall
+       CASE WHEN a > 0 THEN tp / a END AS selective_precision, CASE WHEN a > 0 THEN CASE WHEN tp > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END END AS selective_recall
 FROM (SELECT threshold, count(*) AS n, count_if(score >= threshold) AS a, count_if(score >= threshold AND label = 1) AS tp FROM sweep_rows GROUP BY threshold)""",
                          "sweep_rows")
 _SCALED = f"(1.0::DOUBLE / (1.0::DOUBLE + exp(-{LOGIT} / temperature)))"

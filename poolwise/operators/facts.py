@@ -70,14 +70,23 @@ def replace_first(text: Column, old: Column, new: Column) -> Column:
     return F.when(at > 0, F.concat(F.left(text, at - 1), new, F.substr(text, at + F.length(old))))
 
 
+def staged(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """``expr`` as a column that is computed exactly once per row.
+
+    A plain projection would be copied into every later use and into pushed
+    filters, also inside lambdas; the output of a generator is not.
+    """
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def parse_artifacts(df: DataFrame, text: str = "artifact") -> DataFrame:
     """Adds the sections and their facts as columns."""
-    out = df
-    for section in ("objects", "init", "goal"):
-        out = out.withColumn(section, extract_section(F.col(text), section))
-    return (out.withColumn("object_list", object_names(F.col("objects")))
-            .withColumn("init_facts", section_facts(F.col("init")))
-            .withColumn("goal_facts", section_facts(F.col("goal"))))
+    sections = F.struct(*[extract_section(F.col(text), s).alias(s) for s in ("objects", "init", "goal")])
+    out = staged(df, "_s", sections)
+    lists = F.struct(object_names(F.col("_s.objects")).alias("object_list"),
+                     section_facts(F.col("_s.init")).alias("init_facts"),
+                     section_facts(F.col("_s.goal")).alias("goal_facts"))
+    return staged(out, "_l", lists).select(*df.columns, "_s.*", "_l.*")
 
 
 def explode_facts(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -127,7 +136,10 @@ class Draw:
         return F.array_sort(F.filter(marked, lambda s: s.isNotNull()))
 
     def choose(self, items: Column, eligible: Callable[[Column], Column] = lambda x: F.lit(True)) -> Column:
-        return F.get(self.order(items, eligible), F.lit(0))
+        """The drawn item as (pos, item, w) with its words, NULL if nothing is eligible."""
+        best = F.array_min(self.order(items, eligible))
+        return F.when(best.isNotNull(), F.struct(best["pos"].alias("pos"), best["item"].alias("item"),
+                                                 words(best["item"]).alias("w")))
 
     def below(self, n: int, *parts: Column) -> Column:
         return (F.conv(F.substring(self.hash(*parts), 1, 8), 16, 10).cast("bigint") % n).cast("int")
@@ -137,22 +149,25 @@ def _multi_arg(fact: Column) -> Column:
     return F.size(words(fact)) >= 3
 
 
-def _name(fact: Column) -> Column:
-    return F.get(words(fact), F.lit(0))
+def _args(w: Column) -> Column:
+    return F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
 
 
-def _args(fact: Column) -> Column:
-    w = words(fact)
-    return F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
+def _fact(w: Column) -> Column:
+    return F.concat(F.lit("("), F.array_join(w, " "), F.lit(")"))
+
+
+def _rotated(w: Column) -> Column:
+    tail = F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0)))
+    return _fact(F.concat(F.slice(w, 1, 1), tail, F.slice(w, 2, 1)))
 
 
-def _rotated(fact: Column) -> Column:
-    a = _args(fact)
-    return render_fact(_name(fact), F.concat(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 1, 1)))
+def _reversed(w: Column) -> Column:
+    return _fact(F.concat(F.slice(w, 1, 1), F.reverse(_args(w))))
 
 
-def _reversed(fact: Column) -> Column:
-    return render_fact(_name(fact), F.reverse(_args(fact)))
+def _without(items: Column, pos: Column) -> Column:
+    return F.concat(F.slice(items, 1, pos), F.slice(items, pos + 2, F.size(items)))
 
 
 def _edit(section: str, new: Column) -> Column:
@@ -163,97 +178,121 @@ def _changed(old: Column, new: Column) -> Column:
     return F.when(new != old, new)
 
 
+def _exchange(a: Column, b: Column) -> Column:
+    """Exchange two argument tokens everywhere in the artifact."""
+    tokens = F.split(F.col("artifact"), r"(?<= )|(?=[ )])")
+    return F.array_join(F.transform(tokens, lambda t: F.when(t == a, b).when(t == b, a).otherwise(t)), "")
+
+
 # ---------------------------------------------------------------- corruptions
-# Each takes the draw and gives the new artifact, or NULL where it does not apply.
+# ``draw`` gives the random choice as one column; ``edit`` gives the new artifact from that
+# column, or NULL where it does not apply. The choice is a projection of its own, so it is
+# made once per artifact and not once per use.
+
+@dataclass(frozen=True)
+class Kind:
+    draw: Callable[[Draw, "Corruption"], Column]
+    edit: Callable[[Column, "Corruption"], Column]
+
 
-def swap_goal_args(d: Draw, cfg: "Corruption") -> Column:
-    target = d.choose(F.col("goal_facts"), _multi_arg)["item"]
-    return _edit("goal", replace_first(F.col("goal"), target, _rotated(target)))
+def _swap_goal_args(t: Column, cfg: "Corruption") -> Column:
+    return _edit("goal", replace_first(F.col("goal"), t["item"], _rotated(t["w"])))
 
 
-def drop_init(d: Draw, cfg: "Corruption") -> Column:
+def _drop_init(t: Column, cfg: "Corruption") -> Column:
     facts = F.col("init_facts")
-    at = d.choose(facts)["pos"]
-    return F.when(F.size(facts) > 2, _edit("init", render_init(F.filter(facts, lambda x, i: i != at))))
+    return F.when(F.size(facts) > 2, _edit("init", render_init(_without(facts, t["pos"]))))
 
 
-def add_object(d: Draw, cfg: "Corruption") -> Column:
-    extra = F.concat(F.lit("extra_"), (d.below(99) + 1).cast("string"))
-    return _edit("objects", render_objects(F.concat(F.col("object_list"), F.array(extra))))
+def _add_object(t: Column, cfg: "Corruption") -> Column:
+    return _edit("objects", render_objects(F.concat(F.col("object_list"), F.array(t))))
 
 
-def drop_goal(d: Draw, cfg: "Corruption") -> Column:
-    facts, goal = F.col("goal_facts"), F.col("goal")
-    target = d.choose(facts)["item"]
-    return F.when(F.size(facts) > 1, _edit("goal", collapse_space(replace_first(goal, target, F.lit("")))))
+def _extra_name(d: Draw, cfg: "Corruption") -> Column:
+    return F.concat(F.lit("extra_"), (d.below(99) + 1).cast("string"))
 
 
-def dup_init_wrong_args(d: Draw, cfg: "Corruption") -> Column:
-    facts = F.col("init_facts")
-    target = d.choose(facts, _multi_arg)["item"]
-    copy = _changed(target, _rotated(target))
-    return F.when(copy.isNotNull(), _edit("init", render_init(F.concat(facts, F.array(copy)))))
+def _drop_goal(t: Column, cfg: "Corruption") -> Column:
+    shorter = collapse_space(replace_first(F.col("goal"), t["item"], F.lit("")))
+    return F.when(F.size("goal_facts") > 1, _edit("goal", shorter))
 
 
-def negate_goal(d: Draw, cfg: "Corruption") -> Column:
-    target = d.choose(F.col("goal_facts"))["item"]
-    name, args = _name(target), _args(target)
-    one = F.slice(args, 1, 1)
-    new = F.concat(F.lit("(not "), target, F.lit(")"))
+def _dup_init(t: Column, cfg: "Corruption") -> Column:
+    copy = _changed(t["item"], _rotated(t["w"]))
+    return F.when(copy.isNotNull(), _edit("init", render_init(F.concat(F.col("init_facts"), F.array(copy)))))
+
+
+def _negate_goal(t: Column, cfg: "Corruption") -> Column:
+    w = t["w"]
+    name, args = F.get(w, F.lit(0)), _args(w)
+    one, some = F.slice(args, 1, 1), F.size(args) > 0
+    new = F.concat(F.lit("(not "), t["item"], F.lit(")"))
     for old, flipped in cfg.flips.items():
         if flipped in UNARY:
-            fact = F.when(F.size(args) > 0, render_fact(F.lit(flipped), one))
+            fact = F.when(some, render_fact(F.lit(flipped), one))
         elif flipped == "on":
-            fact = F.when(F.size(args) > 0, render_fact(F.lit(flipped), F.concat(one, one)))
+            fact = F.when(some, render_fact(F.lit(flipped), F.concat(one, one)))
         else:
             fact = render_fact(F.lit(flipped), args)
         new = F.when(name == old, fact).otherwise(new)
-    return _edit("goal", replace_first(F.col("goal"), target, new))
+    return _edit("goal", replace_first(F.col("goal"), t["item"], new))
 
 
-def swap_args(d: Draw, cfg: "Corruption") -> Column:
+def _draw_swap_args(d: Draw, cfg: "Corruption") -> Column:
+    """Section first, then one of its facts with several arguments."""
     in_init = d.below(2, F.lit("section")) == 0
+    facts = F.when(in_init, F.col("init_facts")).otherwise(F.col("goal_facts"))
+    return F.struct(in_init.alias("in_init"), d.choose(facts, _multi_arg).alias("t"))
+
+
+def _swap_args(t: Column, cfg: "Corruption") -> Column:
+    new = _changed(t["t"]["item"], _reversed(t["t"]["w"]))
     def edit(section: str) -> Column:
-        target = d.choose(F.col(f"{section}_facts"), _multi_arg)["item"]
-        new = _changed(target, _reversed(target))
-        return _edit(section, replace_first(F.col(section), target, new))
-    return F.when(in_init, edit("init")).otherwise(edit("goal"))
+        return _edit(section, replace_first(F.col(section), t["t"]["item"], new))
+    return F.when(t["in_init"], edit("init")).otherwise(edit("goal"))
 
 
-def _exchange(a: Column, b: Column) -> Column:
-    """Exchange two argument tokens everywhere in the artifact."""
-    tokens = F.split(F.col("artifact"), r"(?<= )|(?=[ )])")
-    return F.array_join(F.transform(tokens, lambda t: F.when(t == a, b).when(t == b, a).otherwise(t)), "")
+def _draw_objects(d: Draw, cfg: "Corruption") -> Column:
+    named = d.order(F.array_distinct("object_list"), lambda x: x.startswith(cfg.object_prefix))
+    return F.transform(F.slice(named, 1, 2), lambda s: s["item"])
 
 
-def swap_objects(d: Draw, cfg: "Corruption") -> Column:
-    names = d.order(F.array_distinct("object_list"), lambda x: x.startswith(cfg.object_prefix))
-    return F.when(F.size(names) >= 2,
-                  _exchange(F.get(names, F.lit(0))["item"], F.get(names, F.lit(1))["item"]))
+def _swap_objects(t: Column, cfg: "Corruption") -> Column:
+    return F.when(F.size(t) == 2, _exchange(F.get(t, F.lit(0)), F.get(t, F.lit(1))))
 
 
-def swap_named(d: Draw, cfg: "Corruption") -> Column:
+def _swap_named(t: Column, cfg: "Corruption") -> Column:
     a, b = cfg.named
     text = F.col("artifact")
     return F.when(text.contains(a) & text.contains(b), _exchange(F.lit(a), F.lit(b)))
 
 
-def contradict_init(d: Draw, cfg: "Corruption") -> Column:
-    facts = F.col("init_facts")
-    target = d.choose(facts, lambda x: _name(x).isin(*cfg.contradictions))["item"]
-    name, args = _name(target), _args(target)
+def _contradict_init(t: Column, cfg: "Corruption") -> Column:
+    w = t["w"]
+    name, args = F.get(w, F.lit(0)), _args(w)
     one = F.slice(args, 1, 1)
     new = F.lit(None).cast("string")
     for old, contra in cfg.contradictions.items():
         short = F.concat(one, F.array(F.lit("left"))) if contra == "carry" else one
         fact = render_fact(F.lit(contra), F.when(F.size(args) > 0, short).otherwise(args))
         new = F.when(name == old, fact).otherwise(new)
-    return F.when(new.isNotNull(), _edit("init", render_init(F.concat(facts, F.array(new)))))
+    return F.when(new.isNotNull(), _edit("init", render_init(F.concat(F.col("init_facts"), F.array(new)))))
 
 
-CORRUPTIONS: dict[str, Callable[[Draw, "Corruption"], Column]] = {
-    f.__name__: f for f in (swap_goal_args, drop_init, add_object, drop_goal, dup_init_wrong_args,
-                            negate_goal, swap_args, swap_objects, swap_named, contradict_init)}
+CORRUPTIONS: dict[str, Kind] = {
+    "swap_goal_args": Kind(lambda d, c: d.choose(F.col("goal_facts"), _multi_arg), _swap_goal_args),
+    "drop_init": Kind(lambda d, c: d.choose(F.col("init_facts")), _drop_init),
+    "add_object": Kind(_extra_name, _add_object),
+    "drop_goal": Kind(lambda d, c: d.choose(F.col("goal_facts")), _drop_goal),
+    "dup_init_wrong_args": Kind(lambda d, c: d.choose(F.col("init_facts"), _multi_arg), _dup_init),
+    "negate_goal": Kind(lambda d, c: d.choose(F.col("goal_facts")), _negate_goal),
+    "swap_args": Kind(_draw_swap_args, _swap_args),
+    "swap_objects": Kind(_draw_objects, _swap_objects),
+    "swap_named": Kind(lambda d, c: F.lit(True), _swap_named),
+    "contradict_init": Kind(
+        lambda d, c: d.choose(F.col("init_facts"),
+                              lambda x: F.get(words(x), F.lit(0)).isin(*c.contradictions)), _contradict_init),
+}
 
 
 @dataclass(frozen=True)
@@ -266,43 +305,52 @@ class Corruption:
     flips: dict[str, str] = field(default_factory=lambda: dict(FLIP))
     contradictions: dict[str, str] = field(default_factory=lambda: dict(CONTRADICTION))
 
+    def _draw(self, kind: str, salt: Column | None = None) -> Draw:
+        return Draw(self.seed, kind, F.col(self.key), salt)
+
     def corrupt(self, parsed: DataFrame, kind: str) -> DataFrame:
         """One corruption of every artifact; artifacts it does not change drop out."""
-        new = CORRUPTIONS[kind](Draw(self.seed, kind, F.col(self.key)), self)
-        return (parsed.select(self.key, F.lit(kind).alias("kind"), "artifact", new.alias("corrupted"))
+        rule = CORRUPTIONS[kind]
+        drawn = staged(parsed, "drawn", rule.draw(self._draw(kind), self))
+        return (staged(drawn, "corrupted", rule.edit(F.col("drawn"), self))
+                .select(self.key, F.lit(kind).alias("kind"), "artifact", "corrupted")
                 .where("corrupted IS NOT NULL AND corrupted <> artifact"))
 
     def corrupt_many(self, parsed: DataFrame, n: int = 2, kinds: Sequence[str] = ALL_TYPES) -> DataFrame:
         """Up to ``n`` corruptions per artifact out of 3n attempts with drawn types."""
         attempts = (parsed.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(3 * n))))
-                    .withColumn("type_no", Draw(self.seed, "type", F.col(self.key)).below(len(kinds), F.col("attempt"))))
+                    .withColumn("type_no", self._draw("type").below(len(kinds), F.col("attempt"))))
+        mine = {kind: F.col("type_no") == i for i, kind in enumerate(kinds)}
+        drawn = staged(attempts, "drawn", F.struct(*[
+            F.when(mine[kind], CORRUPTIONS[kind].draw(self._draw(kind, F.col("attempt")), self)).alias(kind)
+            for kind in kinds]))
         new = F.lit(None).cast("string")
-        for i, kind in enumerate(kinds):
-            text = CORRUPTIONS[kind](Draw(self.seed, kind, F.col(self.key), F.col("attempt")), self)
-            new = F.when(F.col("type_no") == i, text).otherwise(new)
+        for kind in kinds:
+            new = F.when(mine[kind], CORRUPTIONS[kind].edit(F.col("drawn")[kind], self)).otherwise(new)
         names = F.array(*[F.lit(k) for k in kinds])
         order = W.partitionBy(self.key).orderBy("attempt")
-        return (attempts.select(self.key, "attempt", F.get(names, F.col("type_no")).alias("kind"),
-                                "artifact", new.alias("corrupted"))
+        return (staged(drawn, "corrupted", new)
+                .select(self.key, "attempt", F.get(names, F.col("type_no")).alias("kind"), "artifact", "corrupted")
                 .where("corrupted IS NOT NULL AND corrupted <> artifact")
                 .withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n))
 
     def corrupt_simple(self, parsed: DataFrame) -> DataFrame:
         """One of three plain edits: two goal facts change places, an initial fact goes, an object is added."""
-        choice = Draw(self.seed, "simple", F.col(self.key)).below(3)
         facts = F.col("goal_facts")
-        picked = Draw(self.seed, "reorder", F.col(self.key)).order(facts, lambda x: F.lit(True))
-        i, j = F.get(picked, F.lit(0)), F.get(picked, F.lit(1))
+        picked = self._draw("reorder").order(facts, lambda x: F.lit(True))
+        drawn = staged(parsed, "d", F.struct(
+            self._draw("simple").below(3).alias("choice"), F.slice(picked, 1, 2).alias("two"),
+            *[CORRUPTIONS[k].draw(self._draw(k), self).alias(k) for k in ("drop_init", "add_object")]))
+        i, j = F.get("d.two", F.lit(0)), F.get("d.two", F.lit(1))
         swapped = F.transform(facts, lambda x, p: F.when(p == i["pos"], j["item"])
                               .when(p == j["pos"], i["item"]).otherwise(x))
-        reorder = F.when(F.size(facts) >= 2, _edit("goal", render_goal(swapped)))
-        key = F.col(self.key)
-        new = (F.when(choice == 0, reorder)
-               .when(choice == 1, drop_init(Draw(self.seed, "drop_init", key), self))
-               .otherwise(add_object(Draw(self.seed, "add_object", key), self)))
+        choice = F.col("d.choice")
+        new = (F.when(choice == 0, F.when(F.size(facts) >= 2, _edit("goal", render_goal(swapped))))
+               .when(choice == 1, _drop_init(F.col("d.drop_init"), self))
+               .otherwise(_add_object(F.col("d.add_object"), self)))
         kind = F.when(choice == 0, "reorder_goal").when(choice == 1, "drop_init").otherwise("add_object")
-        return parsed.select(self.key, kind.alias("kind"), "artifact",
-                             F.coalesce(new, F.col("artifact")).alias("corrupted"))
+        return (staged(drawn, "corrupted", F.coalesce(new, F.col("artifact")))
+                .select(self.key, kind.alias("kind"), "artifact", "corrupted"))
 
 
 # ---------------------------------------------------------------- comparison and labels
@@ -320,10 +368,11 @@ def fact_set(text: Column) -> Column:
 
 def fact_diff(pairs: DataFrame, gold: str = "artifact", candidate: str = "corrupted") -> DataFrame:
     """Missing and extra facts, Jaccard similarity and exact set match of two artifacts per row."""
-    sets = pairs.withColumn("g", fact_set(F.col(gold))).withColumn("c", fact_set(F.col(candidate)))
-    sized = sets.select(*pairs.columns, F.size(F.array_except("g", "c")).alias("missing"),
-                        F.size(F.array_except("c", "g")).alias("extra"),
-                        F.size(F.array_intersect("g", "c")).alias("common"))
+    sets = staged(pairs, "_sets", F.struct(fact_set(F.col(gold)).alias("g"), fact_set(F.col(candidate)).alias("c")))
+    g, c = F.col("_sets.g"), F.col("_sets.c")
+    sizes = F.struct(F.size(F.array_except(g, c)).alias("missing"), F.size(F.array_except(c, g)).alias("extra"),
+                     F.size(F.array_intersect(g, c)).alias("common"))
+    sized = staged(sets, "_n", sizes).select(*pairs.columns, "_n.*")
     union = F.col("missing") + F.col("extra") + F.col("common")
     return sized.select("*", (F.col("common") / F.greatest(union, F.lit(1))).alias("jaccard"),
                         ((F.col("missing") == 0) & (F.col("extra") == 0)).alias("exact"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType
 
 from poolwise.functions.scalars import safe_rate
 from poolwise.operators import compare, metrics, mining, repair, selection as sel, splits
@@ -93,7 +94,7 @@ def reconcile_metrics(x: Inputs) -> DataFrame:
     return compare.reconcile_metrics(metrics.batch_metrics(picks, ["k", "policy"]), x.spark.read.parquet(path), names)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def digit_sum_even(payload: pd.Series) -> pd.Series:
     """A stand-in for an expensive evaluator: whether the digits of the payload add up to an even number."""
     return payload.map(lambda text: sum(int(c) for c in text if c.isdigit()) % 2 == 0)
