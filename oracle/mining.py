@@ -2,7 +2,7 @@
 
 from oracle import compare, facts, shared  # noqa: F401  (registers shared views)
 from oracle.views import define, q
-from poolwise.functions.text import WHITE_SPACE as WS
+from oracle.scalars import WS
 
 SQL = {}
 EX = "task_id, k, cand_idx, label, source, source_model, template_id, payload"

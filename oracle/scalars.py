@@ -5,7 +5,8 @@ from poolwise.functions import text as X
 from poolwise.plans.scalars import CONTEXTS, SPECIAL
 
 SQL = {}
-WS = X.WHITE_SPACE
+# The white space class as a pattern.
+WS = (r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
 
 def s(text: str) -> str:

@@ -14,15 +14,18 @@ def policy_vs_baseline(picks: DataFrame, base: str = "verifier_ranked",
                        keys: Sequence[str] = ("task_id",)) -> DataFrame:
     """Each policy row against the base policy of the same task and K.
 
-    A window over (task, K) holds one row per policy, and picks already lie
-    together by task, so this needs no self-join and no further shuffle.
+    Picks that were selected with ``base`` already carry it. For stored
+    selections a window over (task, K) finds it; such a window holds one row per
+    policy, so there is no self-join.
     """
-    w = W.partitionBy(*keys, "k")
-    is_base = F.col("policy") == base
-    out = picks.select(
-        "*",
-        F.max(F.when(is_base, F.col("selected_index"))).over(w).alias("baseline_index"),
-        F.max(F.when(is_base, F.col("selected_correct"))).over(w).alias("baseline_correct"))
+    out = picks
+    if "baseline_index" not in picks.columns:
+        w = W.partitionBy(*keys, "k")
+        is_base = F.col("policy") == base
+        out = picks.select(
+            "*",
+            F.max(F.when(is_base, F.col("selected_index"))).over(w).alias("baseline_index"),
+            F.max(F.when(is_base, F.col("selected_correct"))).over(w).alias("baseline_correct"))
     right, before = F.col("selected_correct"), F.col("baseline_correct")
     changed = ~F.col("selected_index").eqNullSafe(F.col("baseline_index"))
     return out.select(

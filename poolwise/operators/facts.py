@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from poolwise.functions.text import WHITE_SPACE, balanced, collapse_space, strip_text
+from poolwise.functions.text import balanced, collapse_space
 
 # How a goal predicate is flipped and which fact contradicts another.
 FLIP = {"on": "on-table", "on-table": "on", "clear": "holding", "holding": "clear",
@@ -40,12 +40,11 @@ def section_facts(section: Column) -> Column:
 
 
 def words(fact: Column) -> Column:
-    return F.split(strip_text(F.regexp_replace(fact, r"[()]", "")), f"{WHITE_SPACE}+")
+    return F.split(collapse_space(F.translate(fact, "()", "")), " ")
 
 
 def object_names(section: Column) -> Column:
-    inner = strip_text(F.regexp_replace(section, r"^\(:objects|\)$", ""))
-    return F.split(inner, f"{WHITE_SPACE}+")
+    return F.split(collapse_space(F.regexp_replace(section, r"^\(:objects|\)$", "")), " ")
 
 
 def render_fact(name: Column, args: Column) -> Column:
@@ -317,22 +316,33 @@ class Corruption:
                 .where("corrupted IS NOT NULL AND corrupted <> artifact"))
 
     def corrupt_many(self, parsed: DataFrame, n: int = 2, kinds: Sequence[str] = ALL_TYPES) -> DataFrame:
-        """Up to ``n`` corruptions per artifact out of 3n attempts with drawn types."""
-        attempts = (parsed.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(3 * n))))
-                    .withColumn("type_no", self._draw("type").below(len(kinds), F.col("attempt"))))
-        mine = {kind: F.col("type_no") == i for i, kind in enumerate(kinds)}
-        drawn = staged(attempts, "drawn", F.struct(*[
-            F.when(mine[kind], CORRUPTIONS[kind].draw(self._draw(kind, F.col("attempt")), self)).alias(kind)
-            for kind in kinds]))
-        new = F.lit(None).cast("string")
-        for kind in kinds:
-            new = F.when(mine[kind], CORRUPTIONS[kind].edit(F.col("drawn")[kind], self)).otherwise(new)
-        names = F.array(*[F.lit(k) for k in kinds])
-        order = W.partitionBy(self.key).orderBy("attempt")
-        return (staged(drawn, "corrupted", new)
-                .select(self.key, "attempt", F.get(names, F.col("type_no")).alias("kind"), "artifact", "corrupted")
-                .where("corrupted IS NOT NULL AND corrupted <> artifact")
-                .withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n))
+        """Up to ``n`` corruptions per artifact out of 3n attempts with drawn types.
+
+        Attempts are entries of an array on the artifact's own row, so the text is
+        neither repeated per attempt nor shuffled.
+        """
+        def no(kind: str) -> Column:
+            return F.lit(kinds.index(kind))
+
+        def draw(attempt: Column) -> Column:
+            type_no = self._draw("type").below(len(kinds), attempt)
+            return F.struct(attempt.alias("attempt"), type_no.alias("type_no"), *[
+                F.when(type_no == no(kind), CORRUPTIONS[kind].draw(self._draw(kind, attempt), self)).alias(kind)
+                for kind in kinds])
+
+        def result(d: Column) -> Column:
+            new = F.lit(None).cast("string")
+            for kind in kinds:
+                new = F.when(d["type_no"] == no(kind), CORRUPTIONS[kind].edit(d[kind], self)).otherwise(new)
+            names = F.array(*[F.lit(k) for k in kinds])
+            return F.struct(d["attempt"].alias("attempt"), F.get(names, d["type_no"]).alias("kind"), new.alias("corrupted"))
+
+        attempts = F.transform(F.sequence(F.lit(1), F.lit(3 * n)), draw)
+        tried = F.transform(F.col("attempts"), result)
+        changed = F.filter(tried, lambda r: F.coalesce(r["corrupted"] != F.col("artifact"), F.lit(False)))
+        kept = staged(staged(parsed, "attempts", attempts), "kept", F.slice(changed, 1, n))
+        return (kept.select(self.key, "artifact", F.posexplode("kept").alias("pos", "r"))
+                .select(self.key, "r.attempt", "r.kind", "artifact", "r.corrupted", (F.col("pos") + 1).alias("rn")))
 
     def corrupt_simple(self, parsed: DataFrame) -> DataFrame:
         """One of three plain edits: two goal facts change places, an initial fact goes, an object is added."""

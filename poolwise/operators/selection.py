@@ -81,20 +81,29 @@ def pool_aggregates(tasks: DataFrame, candidates: DataFrame, ks: Sequence[int] =
     def order(expr: Column):
         return W.partitionBy(*by).orderBy(expr.desc_nulls_last(), "cand_idx")
 
+    def next_in_prefix(k: int) -> Column:
+        """Score of the next parseable candidate of the prefix in score order (same sort as the rank)."""
+        member = F.col("parseable") & (F.col("cand_idx") < k)
+        after = order(F.col("score")).rowsBetween(1, W.unboundedFollowing)
+        return F.first(F.when(member, F.coalesce("score", F.lit(float("-inf")))), ignorenulls=True).over(after)
+
+    rows = rows.select(
+        "*", F.row_number().over(order(F.col("score"))).alias("_rank"),
+        F.row_number().over(order(F.col("score_b"))).alias("_rank_b"),
+        *[next_in_prefix(k).alias(f"_next_{k}") for k in ks],
+        *[F.row_number().over(order(F.col("score") - F.lit(float(a)) * F.col("cand_idx"))).alias(f"_{alpha_column(a)}")
+          for a in alphas if a])
     rows = rows.select(
-        "*",
-        _ranked(F.row_number().over(order(F.col("score")))).alias("by_score"),
-        _ranked(F.row_number().over(order(F.col("score_b")))).alias("by_score_b"),
-        *[_ranked(F.row_number().over(order(F.col("score") - F.lit(float(a)) * F.col("cand_idx"))))
-          .alias(alpha_column(a)) for a in alphas])
-    rows = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+        *[c for c in rows.columns if not c.startswith("_")],
+        _ranked(F.col("_rank")).alias("by_score"), _ranked(F.col("_rank_b")).alias("by_score_b"),
+        *[_ranked(F.col(f"_{alpha_column(a)}" if a else "_rank")).alias(alpha_column(a)) for a in alphas],
+        F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.nullif(f"_next_{k}", F.lit(float("-inf"))).alias("runner_up"))
+                            for k in ks])).alias("_p")).select("*", "_p.*").drop("_p")
 
     inside = F.coalesce(F.col("cand_idx") < F.col("k"), F.lit(False))
     parse = inside & F.col("parseable")
     solve = parse & F.col("solvable")
     right, wrong = parse & F.col("correct"), parse & ~F.col("correct")
-    next_best = W.partitionBy(*by, "k").orderBy(parse.desc(), "by_score")
-    rows = rows.withColumn("runner_up", F.lead(F.when(parse, F.col("score"))).over(next_best))
     draw = F.conv(F.substring(md5_key(seed, *[F.col(c) for c in by], F.col("k"), F.col("cand_idx")), 1, 15),
                   16, 10).cast("bigint")
 
@@ -133,6 +142,7 @@ def pool_aggregates(tasks: DataFrame, candidates: DataFrame, ks: Sequence[int] =
         F.min_by("error", F.when(parse, draw)).alias("drawn_error"),
         F.count_if(right).alias("parseable_correct_count"),
         F.count_if((F.col("cand_idx") < 4) & F.col("correct")).alias("correct_count_4"),
+        F.count("cand_idx").alias("pool_size"),
         F.count_if(inside).alias("candidate_count"),
         F.count_if(parse).alias("parseable_count"),
         F.count_if(solve).alias("solvable_count"),
@@ -321,19 +331,28 @@ def pick_index(key: str) -> Column:
 
 
 
-def select(aggregates: DataFrame, policies: dict[str, Policy], keep: Sequence[str]) -> DataFrame:
-    """Long form: one row per kept key, K and policy."""
+def select(aggregates: DataFrame, policies: dict[str, Policy], keep: Sequence[str], *,
+           base: str | None = None, reasons: bool = True) -> DataFrame:
+    """Long form: one row per kept key, K and policy.
+
+    ``base`` adds the pick of that policy of the same row, which later comparisons
+    need. Summaries leave the reason texts out with ``reasons=False``.
+    """
     picks = F.array(*[
         F.struct(F.lit(name).alias("policy"), p.slot.cast("bigint").alias("slot"),
-                 p.reason.alias("reason"), p.score.cast("double").alias("selected_score"))
+                 *([p.reason.alias("reason")] if reasons else []), p.score.cast("double").alias("selected_score"))
         for name, p in policies.items()])
     stats = ["candidate_count", "parseable_count", "solvable_count", "correct_count", "oracle"]
-    rows = aggregates.select(*keep, "k", *stats, F.explode(picks).alias("pick"))
+    extra = []
+    if base is not None:
+        slot = policies[base].slot
+        extra = [_index(slot).alias("baseline_index"), _flag(slot, "correct").alias("baseline_correct")]
+    rows = aggregates.select(*keep, "k", *stats, *extra, F.explode(picks).alias("pick"))
     slot = F.col("pick.slot")
     return rows.select(
-        *keep, "k", "pick.policy", _index(slot).alias("selected_index"), "pick.reason",
+        *keep, "k", "pick.policy", _index(slot).alias("selected_index"), *(["pick.reason"] if reasons else []),
         *[_flag(slot, name).alias(f"selected_{name}") for name in _FLAGS],
-        "pick.selected_score", *stats)
+        "pick.selected_score", *stats, *(["baseline_index", "baseline_correct"] if base else []))
 
 
 def select_wide(aggregates: DataFrame, policies: dict[str, Policy], keep: Sequence[str]) -> DataFrame:

@@ -85,9 +85,9 @@ def policy_vs_baseline(x: Inputs) -> DataFrame:
 @query("reconcile_metrics")
 def reconcile_metrics(x: Inputs) -> DataFrame:
     """Recomputed metrics against a saved table that counts only errors the provider reported."""
-    picks = x.basic()
+    picks = x.basic(reasons=False)
     path = work_path(x.spark, "saved-metrics")
-    saved = metrics.batch_metrics(picks.withColumn("selected_parseable_all", F.col("selected_parseable")), ["k", "policy"])
+    saved = metrics.batch_metrics(picks, ["k", "policy"])
     own = picks.groupBy("k", "policy").agg(F.count_if("selected_has_error").alias("error_count"))
     saved.drop("error_count").join(own, ["k", "policy"]).write.parquet(path)
     names = ["total", "parse_count", "equiv_count", "error_count", "parse_rate", "equiv_rate", "equiv_given_parse"]
@@ -115,12 +115,12 @@ def pos_neg_pairs(x: Inputs) -> DataFrame:
 
 @query("helped_hurt")
 def helped_hurt(x: Inputs) -> DataFrame:
-    return compare.helped_hurt(compare.policy_vs_baseline(x.replay()))
+    return compare.helped_hurt(compare.policy_vs_baseline(x.replay(base="verifier_ranked", reasons=False)))
 
 
 @query("changed_rows")
 def changed_rows(x: Inputs) -> DataFrame:
-    return compare.changed_rows(compare.policy_vs_baseline(x.replay())).select(
+    return compare.changed_rows(compare.policy_vs_baseline(x.replay(base="verifier_ranked", reasons=False))).select(
         "task_id", "k", "policy", "change", "selected_index", "selected_score", "baseline_index", "baseline_correct")
 
 

@@ -36,17 +36,17 @@ class Inputs:
         return sel.pool_aggregates(tasks, self.candidates(max(ks)), ks, alphas=alphas)
 
     def picks(self, policies: dict[str, sel.Policy], *attrs: str, ks: Sequence[int] = sel.K_VALUES,
-              alphas: Sequence[float] = ()) -> DataFrame:
-        return sel.select(self.aggregates(*attrs, ks=ks, alphas=alphas), policies, ["task_id", *attrs])
+              alphas: Sequence[float] = (), **options) -> DataFrame:
+        return sel.select(self.aggregates(*attrs, ks=ks, alphas=alphas), policies, ["task_id", *attrs], **options)
 
-    def basic(self, *attrs: str) -> DataFrame:
-        return self.picks(sel.basic_policies(), *attrs)
+    def basic(self, *attrs: str, **options) -> DataFrame:
+        return self.picks(sel.basic_policies(), *attrs, **options)
 
-    def search(self, *attrs: str) -> DataFrame:
-        return self.picks(sel.search_policies(), *attrs)
+    def search(self, *attrs: str, **options) -> DataFrame:
+        return self.picks(sel.search_policies(), *attrs, **options)
 
-    def replay(self, *attrs: str) -> DataFrame:
-        return self.picks(sel.replay_policies(), *attrs, alphas=sel.ALPHAS)
+    def replay(self, *attrs: str, **options) -> DataFrame:
+        return self.picks(sel.replay_policies(), *attrs, alphas=sel.ALPHAS, **options)
 
     def members(self, ks: Sequence[int] = (4, 8), score: str = "score") -> DataFrame:
         return mining.members(self.tasks(), self.candidates(max(ks)), ks, score)
@@ -55,13 +55,13 @@ class Inputs:
         """Rates per seed, K and scorer for the ranked policy of both scorers."""
         from poolwise.operators.metrics import batch_metrics
         both = {"scorer_a": sel.verifier_ranked(), "scorer_b": sel.second_scorer_ranked()}
-        picks = self.picks(both, "seed").withColumnRenamed("policy", "verifier")
+        picks = self.picks(both, "seed", reasons=False).withColumnRenamed("policy", "verifier")
         return batch_metrics(picks, ["seed", "k", "verifier"])
 
     def seed_rates(self) -> DataFrame:
         """Ranked K=8 rate per seed."""
         from poolwise.operators.metrics import batch_metrics
-        picks = self.picks({"verifier_ranked": sel.verifier_ranked()}, "seed", ks=(8,))
+        picks = self.picks({"verifier_ranked": sel.verifier_ranked()}, "seed", ks=(8,), reasons=False)
         return batch_metrics(picks, ["seed"])
 
     def model_pools(self) -> tuple[DataFrame, DataFrame]:

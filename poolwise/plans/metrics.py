@@ -19,35 +19,35 @@ def rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
 
 @query("batch_metrics")
 def batch_metrics(x: Inputs) -> DataFrame:
-    return metrics.batch_metrics(x.picks({"verifier_ranked": sel.verifier_ranked()}), ["k"])
+    return metrics.batch_metrics(x.picks({"verifier_ranked": sel.verifier_ranked()}, reasons=False), ["k"])
 
 
 @query("stratified_metrics")
 def stratified_metrics(x: Inputs) -> DataFrame:
-    return metrics.stratified_metrics(x.basic(*STYLE))
+    return metrics.stratified_metrics(x.basic(*STYLE, reasons=False))
 
 
 @query("policy_summary")
 def policy_summary(x: Inputs) -> DataFrame:
-    return metrics.policy_summary(x.basic())
+    return metrics.policy_summary(x.basic(reasons=False))
 
 
 @query("slice_metrics")
 def slice_metrics(x: Inputs) -> DataFrame:
     """Breakdowns of the search policies by domain and by style."""
-    picks = x.search("domain", "style")
+    picks = x.search("domain", "style", reasons=False)
     return metrics.slice_metrics(picks, "domain").unionByName(metrics.slice_metrics(picks, "style"))
 
 
 @query("macro_mean")
 def macro_mean(x: Inputs) -> DataFrame:
-    out = metrics.macro_mean(metrics.run_rates(x.replay("seed")))
+    out = metrics.macro_mean(metrics.run_rates(x.replay("seed", reasons=False)))
     return rounded(out, "mean_parse_rate", "mean_equiv_rate", "mean_equiv_given_parse")
 
 
 @query("micro_rate")
 def micro_rate(x: Inputs) -> DataFrame:
-    return metrics.micro_rate(metrics.run_rates(x.search("seed")))
+    return metrics.micro_rate(metrics.run_rates(x.search("seed", reasons=False)))
 
 
 @query("latency_summary")
@@ -211,7 +211,7 @@ def high_value_misses(x: Inputs) -> DataFrame:
 
 @query("gate_search")
 def gate_search(x: Inputs) -> DataFrame:
-    picks = x.search("seed")
+    picks = x.search("seed", base="verifier_ranked", reasons=False)
     per_run = metrics.run_rates(picks)
     effects = compare.helped_hurt(compare.policy_vs_baseline(picks))
     return gates.gate_search(metrics.micro_rate(per_run), per_run, effects)

@@ -148,8 +148,8 @@ def paired(x: Inputs) -> DataFrame:
     """Runs of two generator models over the same tasks; a task without candidates of a model is missing."""
     def run(model: str) -> DataFrame:
         pool = x.candidates(8).where(F.col("model") == model)
-        tasks = x.tasks().select("task_id").join(pool.select("task_id").distinct(), "task_id", "left_semi")
-        return compare.snapshot(sel.pool_aggregates(tasks, pool, (4, 8)))
+        found = sel.pool_aggregates(x.tasks().select("task_id"), pool, (4, 8)).where("pool_size > 0")
+        return compare.snapshot(found)
     return compare.paired_runs(run("model_0"), run("model_1"))
 
 
