@@ -68,7 +68,7 @@ FROM candidates""", "candidates")
 SQL["pos_neg_pairs"] = q(f"""
 SELECT task_id, k, pair_no, positive_index, negative_index, positive_score, negative_score FROM ({shared.pairs(4, "'x'", 8, "0")})""", "members")
 SQL["helped_hurt"] = q("""
-SELECT k, policy, count(*) AS total, count_if(changed) AS changed, count_if(helped) AS helped, count_if(hurt) AS hurt,
+SELECT k, policy, count(*) AS total, count_if(correct) AS equiv_count, count_if(changed) AS changed, count_if(helped) AS helped, count_if(hurt) AS hurt,
        count_if(tied_change) AS tied_change FROM replay_vs GROUP BY k, policy""", "replay_vs")
 SQL["changed_rows"] = q("""
 SELECT task_id, k, policy, CASE WHEN helped THEN 'helped' ELSE 'hurt' END AS change, selected_index, score AS selected_score,

@@ -37,7 +37,7 @@ def policy_vs_baseline(picks: DataFrame, base: str = "verifier_ranked",
 
 def helped_hurt(compared: DataFrame, by: Sequence[str] = ("k", "policy")) -> DataFrame:
     return compared.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total"),
+        F.count(F.lit(1)).alias("total"), F.count_if("selected_correct").alias("equiv_count"),
         *[F.count_if(c).alias(c) for c in ("changed", "helped", "hurt", "tied_change")])
 
 

@@ -88,6 +88,14 @@ def parse_artifacts(df: DataFrame, text: str = "artifact") -> DataFrame:
     return staged(out, "_l", lists).select(*df.columns, "_s.*", "_l.*")
 
 
+def with_words(parsed: DataFrame) -> DataFrame:
+    """Adds the facts split into words, which the random choices look at."""
+    def split(facts: str) -> Column:
+        return F.transform(F.col(facts), lambda x: F.struct(x.alias("fact"), words(x).alias("w")))
+    both = F.struct(split("init_facts").alias("init_words"), split("goal_facts").alias("goal_words"))
+    return staged(parsed, "_w", both).select(*parsed.columns, "_w.*")
+
+
 def explode_facts(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fact table: one row per fact with predicate and arguments."""
     def rows(section: str) -> DataFrame:
@@ -128,24 +136,26 @@ class Draw:
         return F.md5(F.concat_ws("|", F.lit(str(self.seed)), F.lit(self.kind), self.key.cast("string"),
                                  *extra, *[p.cast("string") for p in parts]))
 
-    def order(self, items: Column, eligible: Callable[[Column], Column]) -> Column:
-        """Eligible items as (hash, pos, item), sorted by hash."""
+    def _marked(self, items: Column, eligible: Callable[[Column], Column]) -> Column:
         marked = F.transform(items, lambda x, i: F.when(
             eligible(x), F.struct(self.hash(i).alias("h"), i.alias("pos"), x.alias("item"))))
-        return F.array_sort(F.filter(marked, lambda s: s.isNotNull()))
+        return F.filter(marked, lambda s: s.isNotNull())
+
+    def order(self, items: Column, eligible: Callable[[Column], Column] = lambda x: F.lit(True)) -> Column:
+        """Eligible items as (hash, pos, item), sorted by hash."""
+        return F.array_sort(self._marked(items, eligible))
 
-    def choose(self, items: Column, eligible: Callable[[Column], Column] = lambda x: F.lit(True)) -> Column:
-        """The drawn item as (pos, item, w) with its words, NULL if nothing is eligible."""
-        best = F.array_min(self.order(items, eligible))
-        return F.when(best.isNotNull(), F.struct(best["pos"].alias("pos"), best["item"].alias("item"),
-                                                 words(best["item"]).alias("w")))
+    def choose(self, facts: Column, eligible: Callable[[Column], Column] = lambda x: F.lit(True)) -> Column:
+        """The drawn fact as (pos, item, w) with its words, NULL if none is eligible."""
+        best = F.array_min(self._marked(facts, eligible))
+        return F.struct(best["pos"].alias("pos"), best["item"]["fact"].alias("item"), best["item"]["w"].alias("w"))
 
     def below(self, n: int, *parts: Column) -> Column:
         return (F.conv(F.substring(self.hash(*parts), 1, 8), 16, 10).cast("bigint") % n).cast("int")
 
 
 def _multi_arg(fact: Column) -> Column:
-    return F.size(words(fact)) >= 3
+    return F.size(fact["w"]) >= 3
 
 
 def _args(w: Column) -> Column:
@@ -240,7 +250,7 @@ def _negate_goal(t: Column, cfg: "Corruption") -> Column:
 def _draw_swap_args(d: Draw, cfg: "Corruption") -> Column:
     """Section first, then one of its facts with several arguments."""
     in_init = d.below(2, F.lit("section")) == 0
-    facts = F.when(in_init, F.col("init_facts")).otherwise(F.col("goal_facts"))
+    facts = F.when(in_init, F.col("init_words")).otherwise(F.col("goal_words"))
     return F.struct(in_init.alias("in_init"), d.choose(facts, _multi_arg).alias("t"))
 
 
@@ -279,18 +289,18 @@ def _contradict_init(t: Column, cfg: "Corruption") -> Column:
 
 
 CORRUPTIONS: dict[str, Kind] = {
-    "swap_goal_args": Kind(lambda d, c: d.choose(F.col("goal_facts"), _multi_arg), _swap_goal_args),
-    "drop_init": Kind(lambda d, c: d.choose(F.col("init_facts")), _drop_init),
+    "swap_goal_args": Kind(lambda d, c: d.choose(F.col("goal_words"), _multi_arg), _swap_goal_args),
+    "drop_init": Kind(lambda d, c: d.choose(F.col("init_words")), _drop_init),
     "add_object": Kind(_extra_name, _add_object),
-    "drop_goal": Kind(lambda d, c: d.choose(F.col("goal_facts")), _drop_goal),
-    "dup_init_wrong_args": Kind(lambda d, c: d.choose(F.col("init_facts"), _multi_arg), _dup_init),
-    "negate_goal": Kind(lambda d, c: d.choose(F.col("goal_facts")), _negate_goal),
+    "drop_goal": Kind(lambda d, c: d.choose(F.col("goal_words")), _drop_goal),
+    "dup_init_wrong_args": Kind(lambda d, c: d.choose(F.col("init_words"), _multi_arg), _dup_init),
+    "negate_goal": Kind(lambda d, c: d.choose(F.col("goal_words")), _negate_goal),
     "swap_args": Kind(_draw_swap_args, _swap_args),
     "swap_objects": Kind(_draw_objects, _swap_objects),
     "swap_named": Kind(lambda d, c: F.lit(True), _swap_named),
     "contradict_init": Kind(
-        lambda d, c: d.choose(F.col("init_facts"),
-                              lambda x: F.get(words(x), F.lit(0)).isin(*c.contradictions)), _contradict_init),
+        lambda d, c: d.choose(F.col("init_words"),
+                              lambda x: F.get(x["w"], F.lit(0)).isin(*c.contradictions)), _contradict_init),
 }
 
 
@@ -310,7 +320,7 @@ class Corruption:
     def corrupt(self, parsed: DataFrame, kind: str) -> DataFrame:
         """One corruption of every artifact; artifacts it does not change drop out."""
         rule = CORRUPTIONS[kind]
-        drawn = staged(parsed, "drawn", rule.draw(self._draw(kind), self))
+        drawn = staged(with_words(parsed), "drawn", rule.draw(self._draw(kind), self))
         return (staged(drawn, "corrupted", rule.edit(F.col("drawn"), self))
                 .select(self.key, F.lit(kind).alias("kind"), "artifact", "corrupted")
                 .where("corrupted IS NOT NULL AND corrupted <> artifact"))
@@ -324,10 +334,9 @@ class Corruption:
         def no(kind: str) -> Column:
             return F.lit(kinds.index(kind))
 
-        def draw(attempt: Column) -> Column:
-            type_no = self._draw("type").below(len(kinds), attempt)
-            return F.struct(attempt.alias("attempt"), type_no.alias("type_no"), *[
-                F.when(type_no == no(kind), CORRUPTIONS[kind].draw(self._draw(kind, attempt), self)).alias(kind)
+        def draw(t: Column) -> Column:
+            return F.struct(t["attempt"].alias("attempt"), t["type_no"].alias("type_no"), *[
+                F.when(t["type_no"] == no(kind), CORRUPTIONS[kind].draw(self._draw(kind, t["attempt"]), self)).alias(kind)
                 for kind in kinds])
 
         def result(d: Column) -> Column:
@@ -337,18 +346,20 @@ class Corruption:
             names = F.array(*[F.lit(k) for k in kinds])
             return F.struct(d["attempt"].alias("attempt"), F.get(names, d["type_no"]).alias("kind"), new.alias("corrupted"))
 
-        attempts = F.transform(F.sequence(F.lit(1), F.lit(3 * n)), draw)
+        typed = F.transform(F.sequence(F.lit(1), F.lit(3 * n)), lambda a: F.struct(
+            a.alias("attempt"), self._draw("type").below(len(kinds), a).alias("type_no")))
+        attempts = F.transform(typed, draw)
         tried = F.transform(F.col("attempts"), result)
         changed = F.filter(tried, lambda r: F.coalesce(r["corrupted"] != F.col("artifact"), F.lit(False)))
-        kept = staged(staged(parsed, "attempts", attempts), "kept", F.slice(changed, 1, n))
+        kept = staged(staged(with_words(parsed), "attempts", attempts), "kept", F.slice(changed, 1, n))
         return (kept.select(self.key, "artifact", F.posexplode("kept").alias("pos", "r"))
                 .select(self.key, "r.attempt", "r.kind", "artifact", "r.corrupted", (F.col("pos") + 1).alias("rn")))
 
     def corrupt_simple(self, parsed: DataFrame) -> DataFrame:
         """One of three plain edits: two goal facts change places, an initial fact goes, an object is added."""
         facts = F.col("goal_facts")
-        picked = self._draw("reorder").order(facts, lambda x: F.lit(True))
-        drawn = staged(parsed, "d", F.struct(
+        picked = self._draw("reorder").order(facts)
+        drawn = staged(with_words(parsed), "d", F.struct(
             self._draw("simple").below(3).alias("choice"), F.slice(picked, 1, 2).alias("two"),
             *[CORRUPTIONS[k].draw(self._draw(k), self).alias(k) for k in ("drop_init", "add_object")]))
         i, j = F.get("d.two", F.lit(0)), F.get("d.two", F.lit(1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from poolwise.functions.scalars import template_family
 
@@ -15,27 +15,28 @@ def _verdict(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     return out.withColumn("accepted", reduce(lambda a, b: a & b, [F.col(n) for n in conditions]))
 
 
-def gate_search(micro: DataFrame, per_run: DataFrame, effects: DataFrame,
-                base: str = "verifier_ranked") -> DataFrame:
+def gate_search(per_run: DataFrame, base: str = "verifier_ranked") -> DataFrame:
     """K8 rate above base, K4 at most 0.01 below, more helped than hurt, wins in more than one pool.
 
-    All three inputs are small summaries by K and policy (``per_run`` also by seed).
+    ``per_run`` has one row per seed, K and policy with total, equiv_count, equiv_rate,
+    helped and hurt. The base row of the same seed and K comes from a window over
+    its few policies, so the summary is read once.
     """
-    def rate(df: DataFrame, k: int, who: Column) -> Column:
-        return F.max(F.when((F.col("k") == k) & who, F.col("equiv_rate")))
-    own, is_base = F.col("policy") != base, F.col("policy") == base
-    base_rates = micro.agg(rate(micro, 8, is_base).alias("base8"), rate(micro, 4, is_base).alias("base4"))
-    rates = micro.where(own).groupBy("policy").agg(
-        rate(micro, 8, own).alias("rate8"), rate(micro, 4, own).alias("rate4"))
-    runs8 = per_run.where("k = 8")
-    base8 = runs8.where(is_base).select("seed", F.col("equiv_rate").alias("base_rate"))
-    wins = runs8.where(own).join(base8, "seed").groupBy("policy").agg(
-        F.count_if(F.col("equiv_rate") > F.col("base_rate")).alias("pool_wins"))
-    effect8 = effects.where("k = 8").select("policy", "helped", "hurt")
-    one = F.lit(1).alias("_one")
-    out = (rates.join(wins, "policy").join(effect8, "policy").withColumn("_one", F.lit(1))
-           .join(base_rates.select("*", one), "_one").drop("_one"))
-    c = F.col
+    w = W.partitionBy("seed", "k")
+    c, is_base = F.col, F.col("policy") == base
+    rows = per_run.select("*", *[F.max(F.when(is_base, c(n))).over(w).alias(f"base_{n}")
+                                 for n in ("equiv_count", "equiv_rate")]).where(~is_base)
+
+    def rate(count: str, k: int) -> Column:
+        at = F.col("k") == k
+        return F.sum(F.when(at, c(count))) / F.sum(F.when(at, c("total")))
+
+    k8 = F.col("k") == 8
+    out = rows.groupBy("policy").agg(
+        rate("equiv_count", 8).alias("rate8"), rate("equiv_count", 4).alias("rate4"),
+        F.count_if(k8 & (c("equiv_rate") > c("base_equiv_rate"))).alias("pool_wins"),
+        *[F.sum(F.when(k8, c(n)).otherwise(0)).alias(n) for n in ("helped", "hurt")],
+        rate("base_equiv_count", 8).alias("base8"), rate("base_equiv_count", 4).alias("base4"))
     return _verdict(out, {
         "k8_better": c("rate8") > c("base8"), "k4_ok": c("rate4") >= c("base4") - 0.01,
         "more_helped": c("helped") > c("hurt"), "several_pools": c("pool_wins") > 1})

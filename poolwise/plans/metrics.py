@@ -212,9 +212,8 @@ def high_value_misses(x: Inputs) -> DataFrame:
 @query("gate_search")
 def gate_search(x: Inputs) -> DataFrame:
     picks = x.search("seed", base="verifier_ranked", reasons=False)
-    per_run = metrics.run_rates(picks)
-    effects = compare.helped_hurt(compare.policy_vs_baseline(picks))
-    return gates.gate_search(metrics.micro_rate(per_run), per_run, effects)
+    per_run = compare.helped_hurt(compare.policy_vs_baseline(picks), ["seed", "k", "policy"])
+    return gates.gate_search(per_run.withColumn("equiv_rate", F.col("equiv_count") / F.col("total")))
 
 
 def _h2h(x: Inputs, tolerance: float) -> DataFrame:

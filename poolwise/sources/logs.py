@@ -109,6 +109,21 @@ def write_run_summaries(per_run: DataFrame, strata: DataFrame, path: str) -> Non
     runs.select(F.col("seed").alias("run"), "comparisons").write.json(path)
 
 
+def write_bucketed_pools(tasks: DataFrame, candidates: DataFrame, path: str, name: str,
+                         buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Tasks and candidates as tables bucketed and sorted by task.
+
+    Selection and mining over such tables need no shuffle by task at all. Choose
+    the number of buckets so that one bucket of candidates fits a task's memory.
+    """
+    out = []
+    for kind, rows in (("tasks", tasks), ("candidates", candidates)):
+        table = f"{name}_{kind}"
+        rows.write.bucketBy(buckets, "task_id").sortBy("task_id").option("path", f"{path}/{kind}").saveAsTable(table)
+        out.append(rows.sparkSession.table(table))
+    return out[0], out[1]
+
+
 def write_examples(examples: DataFrame, path: str, fmt: str = "parquet", parseable_only: bool = False) -> None:
     rows = examples.where("parseable") if parseable_only else examples
     rows.write.format(fmt).save(path)

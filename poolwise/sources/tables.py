@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from poolwise.functions.scalars import style_label
+from poolwise.operators.ordering import number_rows, top_per_group
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,14 +44,16 @@ def candidates(spark: SparkSession, sf_dir: str, max_k: int | None = None) -> Da
     With ``max_k`` only the first ``max_k`` of each task are numbered at all. The
     filter sits on the bare row number, so Spark trims each task before the
     shuffle (WindowGroupLimit) and a task with very many rows stays small.
+    Without it every row gets its number; tasks with a large share of all rows
+    are numbered in buckets.
     """
-    order = W.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
     rows = load(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
-        "l_returnflag", "l_linestatus", "l_quantity", F.row_number().over(order).alias("rn"))
+        "l_orderkey", *order, "l_returnflag", "l_linestatus", "l_quantity")
     if max_k is not None:
-        rows = rows.where(F.col("rn") <= max_k)
+        rows = top_per_group(rows, ["l_orderkey"], order, max_k)
+    else:
+        rows = number_rows(rows, "l_orderkey", order, F.col("l_linenumber") * F.lit(1e12) + F.col("l_partkey"))
     pk, sk, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber").cast("bigint")
     parseable = F.col("l_returnflag") != "R"
 
