@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from poolwise.functions.scalars import MODERATE_GAP_MARGIN, NEAR_TIE_MARGIN, style_label
+from poolwise.operators.compare import hurt_key_flag
 from poolwise.operators.ordering import keep_first
 
 # Default limits of the miners.
@@ -145,17 +146,16 @@ def _chosen(rows: DataFrame, positives: int, negatives: int, fallback: bool) ->
 
 
 def mine_pairs(rows: DataFrame, *, positives: int = MAX_POSITIVES, negatives: int = MAX_NEGATIVES,
-               max_pairs: int = MAX_PAIRS, guarded: bool = False) -> DataFrame:
+               max_pairs: int = MAX_PAIRS, fallback: bool = False) -> DataFrame:
     """Positive x negative pairs of each mixed pool.
 
     Negatives are taken by bucket; the pair number follows (positive, negative)
-    order and stops at ``max_pairs``. ``guarded`` also takes the remaining
-    negatives as 'hard_negative' and relabels outranking ones of rows flagged
-    ``hurt_key``. The two sides are arrays of at most ``positives`` and
-    ``negatives`` entries, so no group is joined with itself.
+    order and stops at ``max_pairs``. ``fallback`` also takes the remaining
+    negatives as 'hard_negative'. The two sides are arrays of at most
+    ``positives`` and ``negatives`` entries, so no group is joined with itself.
     """
-    chosen = _chosen(rows, positives, negatives, guarded)
-    keys = [*GROUP, *TASK_COLUMNS] + (["hurt_key"] if guarded else [])
+    chosen = _chosen(rows, positives, negatives, fallback)
+    keys = [*GROUP, *TASK_COLUMNS]
 
     def side(correct: Column, *columns: str) -> Column:
         return F.array_sort(F.collect_list(F.when(correct, F.struct("rn", "cand_idx", "payload", "s", *columns))))
@@ -167,8 +167,6 @@ def mine_pairs(rows: DataFrame, *, positives: int = MAX_POSITIVES, negatives: in
              .withColumn("pair_no", (F.col("p.rn") - 1) * F.col("n_chosen") + F.col("n.rn"))
              .where(F.col("pair_no") <= max_pairs))
     kind = F.get(F.array(*[F.lit(b) for b in PAIR_BUCKETS]), F.col("n.bucket"))
-    if guarded:
-        kind = F.when(F.col("hurt_key") & (F.col("n.bucket") == 1), "regression").otherwise(kind)
     return pairs.select(
         *keys, "pair_no", kind.alias("pair_type"),
         F.col("p.payload").alias("positive_payload"), F.col("n.payload").alias("negative_payload"),
@@ -177,6 +175,14 @@ def mine_pairs(rows: DataFrame, *, positives: int = MAX_POSITIVES, negatives: in
         (F.col("p.s") - F.col("n.s")).alias("score_margin"))
 
 
+def mine_pairs_guarded(rows: DataFrame, hurt_keys: DataFrame, **limits) -> DataFrame:
+    """Pairs with the fallback bucket, where outranking negatives of keys that regressed in an earlier
+    comparison are labelled 'regression'. Only the finished pairs meet the keys."""
+    pairs = hurt_key_flag(mine_pairs(rows, fallback=True, **limits), hurt_keys)
+    regressed = F.col("hurt_key") & (F.col("pair_type") == "outranks_positive")
+    return pairs.withColumn("pair_type", F.when(regressed, "regression").otherwise(F.col("pair_type")))
+
+
 def pointwise_from_pools(rows: DataFrame, *, positives: int = MAX_POSITIVES, negatives: int = MAX_NEGATIVES,
                          max_pairs: int = MAX_PAIRS, negative_only: int = MAX_NEGATIVE_ONLY,
                          fallback: bool = False) -> DataFrame:

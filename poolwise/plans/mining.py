@@ -60,8 +60,7 @@ def mine_pairs_pointwise(x: Inputs) -> DataFrame:
 
 @query("mine_pairs_guarded")
 def mine_pairs_guarded(x: Inputs) -> DataFrame:
-    rows = compare.hurt_key_flag(x.members(), hurt_keys(x))
-    return mining.mine_pairs(rows, guarded=True).select(*PAIR, "hurt_key")
+    return mining.mine_pairs_guarded(x.members(), hurt_keys(x)).select(*PAIR, "hurt_key")
 
 
 @query("pair_dedup")

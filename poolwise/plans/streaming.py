@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from poolwise.plans.inputs import Inputs
 from poolwise.plans.registry import query
-from poolwise.streaming import pipelines
+from poolwise.streaming import arrivals
 
 TARGET = 50_000
 
 
 @query("stream_ingest")
 def stream_ingest(x: Inputs) -> DataFrame:
-    return pipelines.run_ingest(x.spark, x.dir).select(
+    return arrivals.run_ingest(x.spark, x.dir).select(
         "event_id", "task_id", "status", "latency_sec", "k", F.unix_micros("ts").alias("ts_micros"))
 
 
 @query("stream_metrics")
 def stream_metrics(x: Inputs) -> DataFrame:
-    return pipelines.snapshot_report(pipelines.run_progress(x.spark, x.dir), TARGET)
+    return arrivals.snapshot_report(arrivals.run_progress(x.spark, x.dir), TARGET)

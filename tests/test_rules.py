@@ -279,7 +279,8 @@ def test_pair_types_by_bucket(spark):
     rows = members(spark, [(0, True, .50), (1, False, .90), (2, False, .55), (3, False, .48), (4, False, .42), (5, False, .10)])
     kinds = {p.negative_index: p.pair_type for p in mining.mine_pairs(rows).collect()}
     assert kinds == {1: "selected_wrong", 2: "outranks_positive", 3: "near_tie", 4: "moderate_gap"}
-    wide = mining.mine_pairs(rows.withColumn("hurt_key", F.lit(True)), negatives=5, guarded=True).collect()
+    hurt = spark.createDataFrame([(7, 8)], "template_id long, k int")
+    wide = mining.mine_pairs_guarded(rows, hurt, negatives=5).collect()
     assert {p.negative_index: p.pair_type for p in wide} == {
         1: "selected_wrong", 2: "regression", 3: "near_tie", 4: "moderate_gap", 5: "hard_negative"}
 
@@ -302,3 +303,33 @@ def test_cluster_without_shared_folder_is_an_error(spark, monkeypatch):
             applicationId = "x"
     with pytest.raises(RuntimeError):
         session.shared_dir(Fake())
+
+
+# ---------------------------------------------------------------- streaming
+
+def test_ingest_skips_known_keys_and_resumes(spark, tmp_path):
+    """Two files with an overlap, the second one arriving after the first run."""
+    from poolwise import schemas
+    from poolwise.streaming import arrivals
+    def write(name, ids):
+        rows = spark.createDataFrame([(i,) for i in ids], "event_id long").select(
+            "event_id", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"),
+            F.lit("view").alias("event_type"), F.lit(2.0).alias("value"), F.lit('{"k": 3}').alias("props"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    def run():
+        stream = arrivals.read_arrivals(spark, str(tmp_path / "in"), "*.parquet", files_per_trigger=1)
+        arrivals.ingest(stream, out, checkpoint).awaitTermination()
+        return sorted(r.event_id for r in spark.read.parquet(out).collect())
+    write("a", [1, 2, 2, 3])
+    assert run() == [1, 2, 3]
+    write("b", [3, 4])
+    assert run() == [1, 2, 3, 4]
+    assert schemas.EVENTS.startswith("event_id")
+
+
+def test_progress_snapshot(spark, sf_dir):
+    from poolwise.streaming import arrivals
+    state = spark.createDataFrame([("view", 4, 10.0)], "status string, done long, elapsed_sec double")
+    r = arrivals.snapshot_report(state, 10).first()
+    assert (r.remaining, r.avg_sec_per_row, r.eta_sec) == (6, 2.5, 15.0)
