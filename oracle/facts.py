@@ -86,7 +86,7 @@ corruption("corrupt_contradict_init", f"""{edit('init', "concat('(:init ', array
   FROM parsed JOIN c USING (task_id)""", "parsed", "fact_rows", c=chosen("contradict_init", "init"))
 
 SQL["corrupt_many"] = q(f"""
-SELECT task_id, CAST(attempt AS INT) AS attempt, kind, rn, corrupted FROM (
+SELECT task_id, CAST(attempt AS INT) AS attempt, kind, CAST(rn AS INT) AS rn, corrupted FROM (
   SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY attempt) AS rn FROM (
     SELECT task_id, a AS attempt, kind, artifact, CASE kind
       WHEN 'drop_init' THEN CASE WHEN len(init_facts) > 2 THEN {edit('init', f"concat('(:init ', {WITHOUT.replace('pos', 'i.pos')}, ')')")} END

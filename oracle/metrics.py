@@ -139,7 +139,7 @@ SQL["repair_cases"] = q("""
 SELECT * EXCLUDE (template_id) FROM targets ORDER BY domain <> 'alpha', style <> 'abstract/abstract', coalesce(selected_score, 0) DESC, seed, task_id LIMIT 50""",
                         "targets")
 SQL["fresh_repair_order"] = q("""
-SELECT seed, rn, task_id, domain, style, template_id, selected_score FROM (SELECT *, row_number() OVER (PARTITION BY seed
+SELECT seed, CAST(rn AS INT) AS rn, task_id, domain, style, template_id, selected_score FROM (SELECT *, row_number() OVER (PARTITION BY seed
   ORDER BY domain = 'alpha' DESC, style = 'abstract/abstract' DESC, selected_score DESC NULLS LAST, template_id DESC, task_id DESC) AS rn FROM targets)
 WHERE rn <= 30""", "targets")
 
@@ -215,7 +215,7 @@ SELECT round(mean_delta, 9) AS mean_delta, nonnegative_seeds, round(worst_delta,
        delta_ok, seeds_ok, worst_ok, more_helped, true AS parse_ok, comparison_ok, hurt_reduced,
        delta_ok AND seeds_ok AND worst_ok AND more_helped AND comparison_ok AND hurt_reduced AS accepted FROM (
 SELECT *, mean_delta >= 0.1 AS delta_ok, nonnegative_seeds >= 4 AS seeds_ok, worst_delta >= -0.05 AS worst_ok, helped > hurt AS more_helped,
-       mean_repair_rate >= mean_comparison_rate - 0.3 AS comparison_ok, focus_hurt < comparison_focus_hurt AS hurt_reduced FROM (
+       mean_repair_rate >= mean_comparison_rate AS comparison_ok, focus_hurt < comparison_focus_hurt AS hurt_reduced FROM (
 SELECT avg(g.c / total - equiv_rate) AS mean_delta, count_if(g.c / total - equiv_rate >= 0) AS nonnegative_seeds, min(g.c / total - equiv_rate) AS worst_delta,
        CAST(sum(g.helped) AS BIGINT) AS helped, CAST(sum(g.hurt) AS BIGINT) AS hurt, avg(g.c / total) AS mean_repair_rate, avg(f.c / total) AS mean_comparison_rate,
        CAST(sum(g.focus) AS BIGINT) AS focus_hurt, CAST(sum(f.focus) AS BIGINT) AS comparison_focus_hurt
@@ -227,7 +227,7 @@ JOIN (SELECT seed, count_if(fin) AS c, count_if(outcome = 'repair_hurt' AND doma
 
 # AUC by comparing all (positive, negative) pairs.
 SQL["sweep_leaderboard"] = q("""
-SELECT run, auc, threshold, f1, row_number() OVER (ORDER BY auc DESC, f1 DESC, run) AS position
+SELECT run, auc, threshold, f1, CAST(row_number() OVER (ORDER BY auc DESC, f1 DESC, run) AS INT) AS position
 FROM (SELECT domain AS run, auc FROM auc_domain) JOIN (SELECT domain AS run, threshold, f1 FROM (
   SELECT *, row_number() OVER (PARTITION BY domain ORDER BY f1 DESC, threshold) AS rn FROM sweep_domain) WHERE rn = 1) USING (run)""",
                               "auc_domain", "sweep_domain")

@@ -94,7 +94,7 @@ SQL["oversample"] = q("SELECT task_id, cand_idx, label, c AS copy FROM hard_nega
 # Samples.
 SQL["sample_n"] = q("SELECT task_id, domain, seed FROM tasks ORDER BY md5(concat_ws('|', '42', task_id)), task_id LIMIT 500", "tasks")
 SQL["sample_per_stratum"] = q("""
-SELECT doc_id, source, label, domain, rn, stratum_n FROM (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY md5(concat_ws('|', '42', doc_id)), doc_id) AS rn,
+SELECT doc_id, source, label, domain, CAST(rn AS INT) AS rn, stratum_n FROM (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY md5(concat_ws('|', '42', doc_id)), doc_id) AS rn,
   count(*) OVER (PARTITION BY source, label) AS stratum_n FROM examples) WHERE rn <= 3""", "examples")
 
 

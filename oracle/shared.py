@@ -254,7 +254,7 @@ SELECT task_id, k, template_id, domain, style, seed, nl, pair_no, pair_type, pos
 FROM (SELECT p.task_id, p.k, p.template_id, p.domain, p.style, p.seed, p.nl, {kind} AS pair_type,
         p.payload AS positive_payload, n.payload AS negative_payload, p.cand_idx AS positive_index, n.cand_idx AS negative_index,
         p.s AS positive_score, n.s AS negative_score,
-        row_number() OVER (PARTITION BY p.task_id, p.k ORDER BY p.rn, n.rn) AS pair_no
+        CAST(row_number() OVER (PARTITION BY p.task_id, p.k ORDER BY p.rn, n.rn) AS INT) AS pair_no
       FROM ({pos}) p JOIN ({neg}) n ON n.task_id = p.task_id AND n.k = p.k {extra} WHERE p.rn <= 2 AND n.rn <= 4)
 WHERE pair_no <= {max_pairs}"""
 

@@ -100,6 +100,18 @@ def define(name: str, sql: str, *needs: str) -> None:
     _VIEWS[name] = (sql, needs)
 
 
+def bigint_counts(sql: str) -> str:
+    """count_if gives HUGEINT; a filtered count gives the BIGINT that Spark counts have."""
+    while (start := sql.find("count_if(")) >= 0:
+        depth, end = 1, start + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[start + len("count_if("):end - 1]
+        sql = f"{sql[:start]}count(*) FILTER (WHERE {inner}){sql[end:]}"
+    return sql
+
+
 def q(body: str, *needs: str, **local: str) -> str:
     """``WITH`` the needed views (and query-local ones, in order) around ``body``."""
     ordered: list[str] = []
@@ -113,6 +125,7 @@ def q(body: str, *needs: str, **local: str) -> str:
 
     for name in needs:
         visit(name)
-    ctes = [f"{name} AS ({_VIEWS[name][0].strip()})" for name in ordered]
+    body, local = bigint_counts(body), {k: bigint_counts(v) for k, v in local.items()}
+    ctes = [f"{name} AS ({bigint_counts(_VIEWS[name][0]).strip()})" for name in ordered]
     ctes += [f"{name} AS ({sql.strip()})" for name, sql in local.items()]
     return f"WITH {', '.join(ctes)} {body.strip()}" if ctes else body.strip()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwise.functions import scalars as S
 from poolwise.operators import selection as sel
+from poolwise.operators.metrics import facet_counts
 
 
 def failure_cases(aggregates: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -45,8 +46,10 @@ def is_miss() -> Column:
     return F.col("oracle_available") & ~F.col("verifier_ranked.correct")
 
 
-def miss_breakdown(cases: DataFrame, column: str) -> DataFrame:
-    return cases.groupBy("k", F.col(column).alias("slice")).agg(
+def miss_breakdown(cases: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Hits and misses by the values of each column, in one pass."""
+    sliced = cases.withColumn("slice", F.explode(F.array(*[F.col(c) for c in columns])))
+    return sliced.groupBy("k", "slice").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("oracle_available").alias("oracle_positive_rows"),
         F.count_if(F.col("verifier_ranked.correct")).alias("verifier_hits"),
         F.count_if(is_miss()).alias("verifier_oracle_misses"))
@@ -59,7 +62,6 @@ def bucket(cases_correct: Column, oracle: Column) -> Column:
 
 def bucket_counts(rows: DataFrame) -> DataFrame:
     """Counts of the three buckets: overall, by domain and by style."""
-    from poolwise.operators.metrics import facet_counts
     b = F.col("bucket")
     return facet_counts(rows, {
         "bucket": b, "domain": F.concat("domain", F.lit(":"), b), "style": F.concat("style", F.lit(":"), b)})

@@ -38,9 +38,10 @@ def batch_metrics(picks: DataFrame, by: Sequence[str]) -> DataFrame:
     return _with_rates(picks.groupBy(*by).agg(*_counts()))
 
 
-def slice_metrics(picks: DataFrame, column: str, by: Sequence[str] = ("k", "policy")) -> DataFrame:
-    """Breakdown by one column."""
-    return batch_metrics(picks.withColumn("slice", F.col(column).cast("string")), [*by, "slice"])
+def slice_metrics(picks: DataFrame, columns: Sequence[str], by: Sequence[str] = ("k", "policy")) -> DataFrame:
+    """Breakdown by the values of each column, in one pass."""
+    values = F.array(*[F.col(c).cast("string") for c in columns])
+    return batch_metrics(picks.withColumn("slice", F.explode(values)), [*by, "slice"])
 
 
 def strata_labels() -> Column:

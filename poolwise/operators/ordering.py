@@ -43,9 +43,9 @@ def hex_bucket(key: Column) -> Column:
     return F.substring(key, 1, 3)
 
 
-def score_bucket(score: Column) -> Column:
-    """Bucket of a score; scores outside 0..1 share the outermost buckets."""
-    step = F.floor(score * SCORE_BUCKETS)
+def score_bucket(score: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """Bucket of a score expected in low..high; values outside share the outermost buckets."""
+    step = F.floor((score - low) / (high - low) * SCORE_BUCKETS)
     return F.greatest(F.lit(-1), F.least(F.lit(SCORE_BUCKETS + 1), step)).cast("int")
 
 
@@ -106,14 +106,15 @@ def sample_per_stratum(rows: DataFrame, strata: Sequence[str], n: int, key: str,
 
 
 def nearest_rank_quantiles(values: DataFrame, group: Sequence[str], value: str,
-                           fractions: dict[str, float]) -> DataFrame:
+                           fractions: dict[str, float], low: float = -1.0, high: float = 1.0) -> DataFrame:
     """Exact quantiles at rank round((n - 1) * f), half to even, with count, mean, min and max.
 
     Works on the histogram of distinct values, so a group of any size is never
-    collected or sorted row by row.
+    collected or sorted row by row. Values are expected in low..high; others are
+    still right but share a bucket.
     """
     hist = values.groupBy(*group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    run = running_total(hist, "c", ["v"], score_bucket(F.col("v")), group)
+    run = running_total(hist, "c", ["v"], score_bucket(F.col("v"), low, high), group)
 
     def at(fraction: float) -> Column:
         rank = F.bround((F.col("total") - 1) * F.lit(fraction), 0).cast("bigint")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from poolwise.operators import mining, selection as sel
+from poolwise.operators.metrics import batch_metrics
 from poolwise.sources import tables as t
 
 
@@ -53,20 +54,17 @@ class Inputs:
 
     def scorer_rates(self) -> DataFrame:
         """Rates per seed, K and scorer for the ranked policy of both scorers."""
-        from poolwise.operators.metrics import batch_metrics
         both = {"scorer_a": sel.verifier_ranked(), "scorer_b": sel.second_scorer_ranked()}
         picks = self.picks(both, "seed", reasons=False).withColumnRenamed("policy", "verifier")
         return batch_metrics(picks, ["seed", "k", "verifier"])
 
     def seed_rates(self) -> DataFrame:
         """Ranked K=8 rate per seed."""
-        from poolwise.operators.metrics import batch_metrics
         picks = self.picks({"verifier_ranked": sel.verifier_ranked()}, "seed", ks=(8,), reasons=False)
         return batch_metrics(picks, ["seed"])
 
     def model_pools(self) -> tuple[DataFrame, DataFrame]:
         """Each task once per generator model, and the candidates renumbered within their model."""
-        from pyspark.sql import Window as W
         models = F.array(*[F.lit(f"model_{i}") for i in range(3)])
         tasks = self.tasks().select("task_id", "seed", "domain", F.explode(models).alias("model"))
         order = W.partitionBy("task_id", "model").orderBy("cand_idx")

@@ -36,7 +36,7 @@ def policy_summary(x: Inputs) -> DataFrame:
 def slice_metrics(x: Inputs) -> DataFrame:
     """Breakdowns of the search policies by domain and by style."""
     picks = x.search("domain", "style", reasons=False)
-    return metrics.slice_metrics(picks, "domain").unionByName(metrics.slice_metrics(picks, "style"))
+    return metrics.slice_metrics(picks, ["domain", "style"])
 
 
 @query("macro_mean")
@@ -183,8 +183,7 @@ def failure_cases(x: Inputs) -> DataFrame:
 
 @query("miss_breakdown")
 def miss_breakdown(x: Inputs) -> DataFrame:
-    rows = cases(x)
-    return failures.miss_breakdown(rows, "domain").unionByName(failures.miss_breakdown(rows, "style"))
+    return failures.miss_breakdown(cases(x), ["domain", "style"])
 
 
 DOMAINS, STYLES = ("alpha", "beta"), ("abstract/abstract", "explicit/explicit")
@@ -267,7 +266,7 @@ def gate_final_repair(x: Inputs) -> DataFrame:
     seeds = (base.join(per_seed(guarded, ""), "seed").join(per_seed(free, "comparison_"), "seed")
              .withColumn("repair_rate", F.col("correct") / F.col("total"))
              .withColumn("comparison_rate", F.col("comparison_correct") / F.col("total")))
-    out = gates.gate_final_repair(seeds, max_mean_loss=0.3, require_hurt_reduction=True)
+    out = gates.gate_final_repair(seeds, require_hurt_reduction=True)
     return rounded(out, "mean_delta", "worst_delta", "mean_parse_rate", "mean_repair_rate", "mean_comparison_rate")
 
 

@@ -13,8 +13,9 @@ TARGET = 50_000
 
 @query("stream_ingest")
 def stream_ingest(x: Inputs) -> DataFrame:
+    """Ingested arrivals; the time is given as wall-clock microseconds in any session zone."""
     return arrivals.run_ingest(x.spark, x.dir).select(
-        "event_id", "task_id", "status", "latency_sec", "k", F.unix_micros("ts").alias("ts_micros"))
+        "event_id", "task_id", "status", "latency_sec", "k", F.unix_micros(F.from_utc_timestamp("ts", F.current_timezone())).alias("ts_micros"))
 
 
 @query("stream_metrics")
