@@ -20,8 +20,8 @@ TOKENS = 64
 #: A pair at the similarity is found with at least this probability; it fixes the number of runs.
 RECALL = 0.999999
 #: Buckets up to BUCKET sets are compared by brute force, larger ones are split on FANOUT sampled tokens, at most DEPTH
-#: times. A larger bucket whose sets agree on DENSE of their tokens can't be split; blocks of BUCKET sets share its work.
-BUCKET, FANOUT, DEPTH, DENSE = 256, 4, 4, 0.5
+#: times. A larger bucket whose sets agree on DENSE of their tokens can't be split; pairs of blocks of BLOCK sets share it.
+BUCKET, FANOUT, DEPTH, DENSE, BLOCK = 256, 4, 4, 0.5, 1024
 #: Pairs that agree on fewer sampled tokens are not compared exactly: five standard deviations below the expectation.
 AGREE = math.floor(TOKENS * (SIMILARITY - 5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / TOKENS)))
 MASK = (1 << 64) - 1
@@ -146,18 +146,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-MEMBER = "key binary, copies long, leaf long, slot int, held array<struct<slot:int,leaf:bigint>>, side int, cross boolean, task long"
+MEMBER = ("key binary, copies long, leaf long, slot int, held array<struct<slot:int,leaf:bigint>>, side int, "
+          "cross boolean, task long")
 
 
 def members(sets: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Sets by task: a bucket up to BUCKET sets is one, a larger one is cut into blocks, and each pair of blocks is one.
+    """Sets by task: a bucket up to BLOCK sets is one, a larger one is cut into blocks, and each pair of blocks is one.
 
     ``held`` has all leaves of a set; a pair is compared in the first slot whose leaf both share, and nowhere else.
     """
     held = buckets.groupBy("key").agg(F.collect_list(F.struct("slot", "leaf", "rows")).alias("x"))
     rows = held.join(sets.select("key", "copies", "tokens"), "key")
-    rows = rows.select("key", "copies", "tokens", F.transform("x", lambda s: F.struct(s["slot"].alias("slot"), s["leaf"].alias("leaf"))).alias("held"), F.explode("x").alias("b"))
-    blocks = F.ceil(F.col("b.rows") / BUCKET).cast("int")
+    place = F.transform("x", lambda s: F.struct(s["slot"].alias("slot"), s["leaf"].alias("leaf")))
+    rows = rows.select("key", "copies", "tokens", place.alias("held"), F.explode("x").alias("b"))
+    blocks = F.ceil(F.col("b.rows") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("key", "b.leaf"), blocks).cast("int")
     rows = rows.select("key", "copies", "tokens", "held", "b.leaf", "b.slot", block.alias("side"), blocks.alias("blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -167,7 +169,7 @@ def members(sets: DataFrame, buckets: DataFrame) -> DataFrame:
 
 
 def _in_groups(batches: Iterable[pa.RecordBatch], column: str = "task") -> Iterator[dict]:
-    """Successive rows with one ``column`` as columns of Python values; a group has at most some hundred rows."""
+    """Successive rows with one ``column`` as columns of Python values; a group has at most about two blocks of them."""
     held: list[pa.RecordBatch] = []
 
     def give() -> dict:

@@ -84,6 +84,7 @@ def brute_classes(texts, similarity=0.8):
 
 @pytest.mark.parametrize("bucket", [256, 3])
 def test_near_duplicates(spark, sf_dir, real, monkeypatch, bucket):
+    monkeypatch.setattr(jaccard, "BLOCK", bucket)
     monkeypatch.setattr(jaccard, "BUCKET", bucket)  # 3: buckets are split, and dense ones cut into blocks
     rows = rows_of(jaccard.classes(common.documents(spark, sf_dir)))
     want, n = brute_classes(real)
@@ -105,7 +106,8 @@ def test_near_duplicates_of_odd_rows(odd, odd_rows, none):
     assert jaccard.classes(none).count() == 0
 
 
-def test_a_large_group_of_near_copies_is_counted_whole(spark):
+def test_a_large_group_of_near_copies_is_counted_whole(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 200)
     rng = np.random.default_rng(1)
     base = [f"w{k}" for k in rng.integers(0, 5000, 120)]
     texts = []
