@@ -125,7 +125,7 @@ def leaves(sets: DataFrame, n_runs: int) -> DataFrame:
         split = big.join(sets.select("key", "tokens"), "key").select(
             F.col("leaf").alias("parent"), F.col("rows").alias("of"), "key",
             F.explode(F.array(*[child(j) for j in range(FANOUT)])).alias("x"))
-        split = split.select("parent", "of", "x.slot", "x.leaf", "key")
+        split = common.written(split.select("parent", "of", "x.slot", "x.leaf", "key"), "jaccard-split")
         # Squares of the shares of a node's children add up to the similarity of its average pair.
         shares = split.groupBy("parent", "of", "slot", "leaf").agg(F.count("*").alias("n"))
         dense = shares.groupBy("parent").agg(
