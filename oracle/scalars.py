@@ -2,9 +2,10 @@
 
 from oracle.views import q
 from poolwise.functions import text as X
-from poolwise.plans.scalars import CONTEXTS, SPECIAL
+from poolwise.plans.scalars import CONTEXTS
 
 SQL = {}
+SPECIAL = {"beta": "Mend the problem below and answer with nothing else.\n\nUse the names of the task."}
 # The white space class as a pattern.
 WS = (r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 

@@ -183,7 +183,9 @@ LEFT JOIN best_of_class bc ON bc.task_id = t.task_id AND bc.k = r.k AND bc.corre
 LEFT JOIN best_of_class bw ON bw.task_id = t.task_id AND bw.k = r.k AND NOT bw.correct
 WHERE r.k IN (4, 8)) c""", "tasks", "ranked", "greedy", "drawn", "pool_stats", "best_of_class", "pool")
 
-# Two runs on the same tasks.
+# Two runs on the same tasks; a run numbers its own candidates.
+define("own", """
+SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY task_id, model ORDER BY cand_idx) - 1 AS INT) AS cand_idx) FROM candidates""", "candidates")
 _SNAP = """
 SELECT t.task_id, ks48.k, r.cand_idx AS selected_index, coalesce(r.correct, false) AS selected_correct, r.score AS selected_score,
        count(p.cand_idx) FILTER (p.parseable) AS parseable_count, count(p.cand_idx) FILTER (p.parseable AND p.correct) AS correct_count,
@@ -191,15 +193,15 @@ SELECT t.task_id, ks48.k, r.cand_idx AS selected_index, coalesce(r.correct, fals
        arg_min(p.cand_idx, -p.score * 1000 + p.cand_idx / 100.0) FILTER (p.parseable AND p.correct) AS best_correct_index,
        max(p.score) FILTER (p.parseable AND p.correct) AS best_correct_score,
        arg_min(p.cand_idx, -p.score * 1000 + p.cand_idx / 100.0) FILTER (p.parseable AND NOT p.correct) AS best_wrong_index
-FROM (SELECT DISTINCT task_id FROM candidates WHERE model = '{m}' AND cand_idx < 8) t CROSS JOIN ks48
-LEFT JOIN candidates p ON p.task_id = t.task_id AND p.cand_idx < ks48.k AND p.model = '{m}'
+FROM (SELECT DISTINCT task_id FROM own WHERE model = '{m}' AND cand_idx < 8) t CROSS JOIN ks48
+LEFT JOIN own p ON p.task_id = t.task_id AND p.cand_idx < ks48.k AND p.model = '{m}'
 LEFT JOIN (SELECT * FROM (SELECT c.*, ks48.k, row_number() OVER (PARTITION BY task_id, ks48.k ORDER BY score DESC NULLS LAST, cand_idx) AS rn
-             FROM candidates c JOIN ks48 ON cand_idx < ks48.k WHERE parseable AND model = '{m}') WHERE rn = 1) r
+             FROM own c JOIN ks48 ON cand_idx < ks48.k WHERE parseable AND model = '{m}') WHERE rn = 1) r
   ON r.task_id = t.task_id AND r.k = ks48.k
 GROUP BY t.task_id, ks48.k, r.cand_idx, r.correct, r.score"""
 define("ks48", "SELECT CAST(unnest([4, 8]) AS INT) AS k")
-define("run0", _SNAP.format(m="model_0"), "candidates", "ks48")
-define("run1", _SNAP.format(m="model_1"), "candidates", "ks48")
+define("run0", _SNAP.format(m="model_0"), "own", "ks48")
+define("run1", _SNAP.format(m="model_1"), "own", "ks48")
 define("paired", """
 SELECT *, CASE WHEN cand_oracle AND NOT base_oracle THEN 'oracle_availability_gain' WHEN base_oracle AND NOT cand_oracle THEN 'oracle_availability_loss'
   WHEN NOT base_oracle THEN 'both_no_oracle' WHEN outcome = 'candidate_helped' THEN 'selector_gain_with_oracle'

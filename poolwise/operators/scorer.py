@@ -62,9 +62,9 @@ def score_pairs(rows: DataFrame, make_predict: Callable, inputs: Sequence[str],
     """Scores rows with a user model in Arrow batches; only eligible rows reach it.
 
     ``make_predict`` builds the batch function once per Python worker. Rows that
-    are not eligible keep a NULL score.
+    are not eligible, or of unknown eligibility, keep a NULL score.
     """
-    eligible = F.col("parseable") if eligible is None else eligible
+    eligible = F.coalesce(F.col("parseable") if eligible is None else eligible, F.lit(False))
     predict = predict_batch_udf(make_predict, return_type=DoubleType(), batch_size=batch_size)
     scored = rows.where(eligible).withColumn("model_score", predict(*[F.col(c) for c in inputs]))
     return scored.unionByName(rows.where(~eligible).withColumn("model_score", F.lit(None).cast("double")))

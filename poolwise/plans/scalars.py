@@ -11,7 +11,7 @@ from poolwise.plans.registry import query
 from poolwise.sources import tables as t
 
 CONTEXTS = {"alpha": X.DOMAIN_CONTEXT["blocksworld"], "beta": X.DOMAIN_CONTEXT["gripper"]}
-SPECIAL = {"beta": X.DOMAIN_REPAIR["gripper"]}
+SPECIAL = {"beta": "Mend the problem below and answer with nothing else.\n\nUse the names of the task."}
 BACKENDS = (("local", "model_0", 2), ("remote", "model_1", 3), ("remote", "model_2", 1))
 
 
@@ -145,9 +145,10 @@ def gain_reason(x: Inputs) -> DataFrame:
 
 
 def paired(x: Inputs) -> DataFrame:
-    """Runs of two generator models over the same tasks; a task without candidates of a model is missing."""
+    """Runs of two generator models over the same tasks; a run numbers its own candidates, and a
+    task without candidates of a model is missing from it."""
     def run(model: str) -> DataFrame:
-        pool = x.candidates(8).where(F.col("model") == model)
+        pool = x.model_pools()[1].where(F.col("model") == model)
         found = sel.pool_aggregates(x.tasks().select("task_id"), pool, (4, 8)).where("pool_size > 0")
         return compare.snapshot(found)
     return compare.paired_runs(run("model_0"), run("model_1"))

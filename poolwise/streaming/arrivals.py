@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from poolwise import schemas
@@ -19,15 +20,26 @@ def read_arrivals(spark: SparkSession, folder: str, pattern: str = "events.parqu
     return stream(reader.parquet(folder))
 
 
-def ingest(arrivals: DataFrame, path: str, checkpoint: str, key: str = "event_id",
-           delay: str = "1 day") -> StreamingQuery:
-    """Appends new arrivals to a parquet table; a key seen before within the delay is skipped.
+def ingest(arrivals: DataFrame, path: str, checkpoint: str, key: str = "event_id") -> StreamingQuery:
+    """Appends new arrivals to a parquet table, one folder per batch; a key that is stored already is skipped.
 
-    A restart with the same checkpoint continues where the last run stopped.
+    However late a row comes, a new key is kept. Of rows with one key in a batch the earliest stays. A restart with
+    the same checkpoint continues where the last run stopped; a repeated batch replaces its own folder.
     """
-    fresh = arrivals.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
-    return (fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+    order = Window.partitionBy(key).orderBy("ts")
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        first = batch.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+        try:
+            stored = batch.sparkSession.read.parquet(path).where(F.col("batch_id") < batch_id)
+            first = first.join(stored.select(key), key, "left_anti")
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        first.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (arrivals.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def progress(arrivals: DataFrame, total: int | None = None) -> DataFrame:

@@ -328,6 +328,21 @@ def test_ingest_skips_known_keys_and_resumes(spark, tmp_path):
     assert schemas.EVENTS.startswith("event_id")
 
 
+def test_ingest_keeps_late_new_keys_and_skips_late_known_ones(spark, tmp_path):
+    """One file per trigger, days out of order: in = out, apart from keys that are stored already."""
+    from poolwise.streaming import arrivals
+    kept = set()
+    for day, ids in ((10, [1, 2, 3]), (1, [4, 5, 6]), (12, [7, 8, 1]), (2, [9, 10, 4])):
+        rows = spark.createDataFrame([(i, f"2024-01-{day:02} 00:00:00") for i in ids], "event_id long, at string").select(
+            "event_id", F.col("at").cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"),
+            F.lit("view").alias("event_type"), F.lit(2.0).alias("value"), F.lit('{"k": 3}').alias("props"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        kept |= set(ids)
+    stream = arrivals.read_arrivals(spark, str(tmp_path / "in"), "*.parquet", files_per_trigger=1)
+    arrivals.ingest(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(kept)
+
+
 def test_progress_snapshot(spark, sf_dir):
     from poolwise.streaming import arrivals
     state = spark.createDataFrame([("view", 4, 10.0)], "status string, done long, elapsed_sec double")
