@@ -20,8 +20,10 @@ TOKENS = 64
 #: A pair at the similarity is found with at least this probability; it fixes the number of runs.
 RECALL = 0.999999
 #: Buckets up to BUCKET sets are compared by brute force, larger ones are split on FANOUT sampled tokens, at most DEPTH
-#: times. A larger bucket whose sets agree on DENSE of their tokens can't be split; pairs of blocks of BLOCK sets share it.
-BUCKET, FANOUT, DEPTH, DENSE, BLOCK = 256, 4, 4, 0.5, 1024
+#: times. Children of a bucket whose sets agree on DENSE of their tokens would hold as many pairs as it does, so it isn't
+#: split; pairs of blocks of BLOCK sets share it.
+BUCKET, FANOUT, DEPTH, BLOCK = 256, 4, 4, 1024
+DENSE = 1 / FANOUT
 #: Pairs that agree on fewer sampled tokens are not compared exactly: five standard deviations below the expectation.
 AGREE = math.floor(TOKENS * (SIMILARITY - 5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / TOKENS)))
 MASK = (1 << 64) - 1
@@ -123,19 +125,19 @@ def leaves(sets: DataFrame, n_runs: int) -> DataFrame:
         child = lambda j: F.struct((F.col("slot") * FANOUT + n_runs + j).alias("slot"), F.xxhash64(
             F.col("leaf"), F.lit(j), F.element_at("tokens", (coordinate(j) + 1).cast("int"))).alias("leaf"))
         split = big.join(sets.select("key", "tokens"), "key").select(
-            F.col("leaf").alias("parent"), F.col("rows").alias("of"), "key",
-            F.explode(F.array(*[child(j) for j in range(FANOUT)])).alias("x"))
-        split = common.written(split.select("parent", "of", "x.slot", "x.leaf", "key"), "jaccard-split")
+            "slot", F.col("leaf").alias("parent"), F.col("rows").alias("of"), "key",
+            F.array(*[child(j) for j in range(FANOUT)]).alias("children"))
+        split = common.written(split, "jaccard-split")
         # Squares of the shares of a node's children add up to the similarity of its average pair.
-        shares = split.groupBy("parent", "of", "slot", "leaf").agg(F.count("*").alias("n"))
+        shares = split.select("parent", "of", F.explode("children").alias("x")).groupBy(
+            "parent", "of", "x.slot", "x.leaf").agg(F.count("*").alias("n"))
         dense = shares.groupBy("parent").agg(
             (F.sum(F.pow(F.col("n") / F.col("of"), 2)) / FANOUT).alias("similar"), F.max("of").alias("rows"))
-        dense = common.written(dense, "jaccard-dense")
-        both = common.attach(big.withColumnRenamed("leaf", "parent").drop("rows"), dense, ["parent"], "parent", "rows", ["key"])
+        both = common.attach(split.drop("of"), common.written(dense, "jaccard-dense"), ["parent"], "parent", "rows", ["key"])
+        both = common.written(both, "jaccard-judged")
         done.append(both.where(F.col("similar") >= DENSE).select("slot", F.col("parent").alias("leaf"), "rows", "key"))
-        rest = common.attach(split.drop("of"), dense.where(F.col("similar") < DENSE).withColumn("rows", F.col("rows") * FANOUT),
-                             ["parent"], "parent", "rows", ["key"])
-        level = sized(rest.select("slot", "leaf", "key"))
+        rest = both.where(F.col("similar") < DENSE).select("key", F.explode("children").alias("x"))
+        level = sized(rest.select("x.slot", "x.leaf", "key"))
     return _union([*done, level.select("slot", "leaf", "rows", "key")])
 
 
