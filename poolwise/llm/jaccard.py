@@ -129,8 +129,10 @@ def leaves(sets: DataFrame, n_runs: int) -> DataFrame:
             F.array(*[child(j) for j in range(FANOUT)]).alias("children"))
         split = common.written(split, "jaccard-split")
         # Squares of the shares of a node's children add up to the similarity of its average pair.
-        shares = split.select("parent", "of", F.explode("children").alias("x")).groupBy(
-            "parent", "of", "x.slot", "x.leaf").agg(F.count("*").alias("n"))
+        # Sets with the same children, most of a dense bucket, are counted before they are told apart by child.
+        alike = split.groupBy("parent", "of", "children").agg(F.count("*").alias("n"))
+        shares = alike.select("parent", "of", F.explode("children").alias("x"), "n").groupBy(
+            "parent", "of", "x.slot", "x.leaf").agg(F.sum("n").alias("n"))
         dense = shares.groupBy("parent").agg(
             (F.sum(F.pow(F.col("n") / F.col("of"), 2)) / FANOUT).alias("similar"), F.max("of").alias("rows"))
         both = common.attach(split.drop("of"), common.written(dense, "jaccard-dense"), ["parent"], "parent", "rows", ["key"])
