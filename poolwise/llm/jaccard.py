@@ -19,10 +19,11 @@ WORDS, SIMILARITY = 5, 0.8
 TOKENS = 64
 #: A pair at the similarity is found with at least this probability; it fixes the number of runs.
 RECALL = 0.999999
-#: Buckets up to BUCKET sets are compared by brute force, larger ones are split on FANOUT sampled tokens, at most DEPTH
-#: times. Children of a bucket whose sets agree on DENSE of their tokens would hold as many pairs as it does, so it isn't
-#: split; pairs of blocks of BLOCK sets share it.
-BUCKET, FANOUT, DEPTH, BLOCK = 256, 4, 4, 1024
+#: Buckets up to BUCKET sets are compared by brute force: a set meets at most so many others there, some microseconds of
+#: work, less than its FANOUT rows in a split cost. Larger ones are split on FANOUT sampled tokens, at most DEPTH times.
+#: Children of a bucket whose sets agree on DENSE of their tokens would hold as many pairs as it does, so it isn't split;
+#: pairs of blocks of BLOCK sets share it.
+BUCKET, FANOUT, DEPTH, BLOCK = 1024, 4, 4, 1024
 DENSE = 1 / FANOUT
 #: Pairs that agree on fewer sampled tokens are not compared exactly: five standard deviations below the expectation.
 AGREE = math.floor(TOKENS * (SIMILARITY - 5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / TOKENS)))
