@@ -23,7 +23,7 @@ SELECT task_id, k, cand_idx, CAST(correct AS INT) AS label, CASE WHEN correct TH
        model AS source_model, template_id, payload
 FROM (SELECT m.*, row_number() OVER (PARTITION BY task_id, k, correct ORDER BY (NOT correct AND picked) DESC,
         CASE WHEN correct THEN 0 WHEN gap <= 0.03::DOUBLE THEN 0 WHEN gap <= 0.1::DOUBLE THEN 1 ELSE 2 END, s DESC, cand_idx) AS rn
-      FROM members m JOIN (SELECT task_id, k FROM cases WHERE is_miss AND domain = 'alpha' AND (margin IS NULL OR margin <= 0.1::DOUBLE)) c USING (task_id, k)
+      FROM members m JOIN (SELECT task_id, k FROM cases WHERE is_miss AND (margin IS NULL OR margin <= 0.1::DOUBLE)) c USING (task_id, k)
       WHERE n_pos > 0)
 WHERE rn <= CASE WHEN correct THEN 2 ELSE 4 END""", "members", "cases")
 

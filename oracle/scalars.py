@@ -31,10 +31,13 @@ SQL["extract_block"] = q(rf"""
 SELECT conv_id, turn, regexp_replace(
   CASE WHEN regexp_matches(raw_response, '(?s)```(?:pddl)?\s*\n(.*?)```')
          THEN regexp_extract(raw_response, '(?s)```(?:pddl)?\s*\n(.*?)```', 1)
-       WHEN regexp_matches(raw_response, '(\(define\s(?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\))')
-         THEN regexp_extract(raw_response, '(\(define\s(?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\))', 1)
-       ELSE raw_response END, '^{WS}+|{WS}+$', '', 'g') AS block
-FROM responses""", "responses")
+       WHEN stop IS NOT NULL THEN left(tail, stop) ELSE raw_response END, '^{WS}+|{WS}+$', '', 'g') AS block
+FROM headed LEFT JOIN closed USING (tail)""", "responses",
+    headed=r"SELECT *, regexp_extract(raw_response, '(?s)(\(define\s.*)', 1) AS tail FROM responses",
+    steps="""SELECT tail, i, CASE substr(tail, i, 1) WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END AS d
+FROM (SELECT tail, unnest(range(1, length(tail) + 1)) AS i FROM (SELECT DISTINCT tail FROM headed))""",
+    closed="""SELECT tail, min(i) AS stop FROM (SELECT *, sum(d) OVER (PARTITION BY tail ORDER BY i) AS depth FROM steps)
+WHERE depth = 0 GROUP BY tail""")
 
 
 def lookup(table: dict, tail: str = "") -> str:

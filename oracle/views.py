@@ -55,9 +55,11 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 
 RESPONSES = """
 SELECT conv_id, turn, text AS body,
-       CASE WHEN (conv_id + turn) % 3 = 0 THEN text
-            WHEN (conv_id + turn) % 3 = 1 THEN concat('Sure.', chr(10), '```pddl', chr(10), text, chr(10), '```', chr(10), 'Done.')
-            ELSE concat('```', chr(10), text, chr(10), '```') END AS raw_response
+       CASE (conv_id + turn) % 5 WHEN 0 THEN text
+            WHEN 1 THEN concat('Sure.', chr(10), '```pddl', chr(10), text, chr(10), '```', chr(10), 'Done.')
+            WHEN 2 THEN concat('```', chr(10), text, chr(10), '```')
+            WHEN 3 THEN concat('Answer: (define (p) ', repeat('(a ', CAST(conv_id % 40 AS INT)), text, repeat(')', CAST(conv_id % 40 + 1 AS INT)), ' (more)')
+            ELSE concat('(define (p ', text, ' (define (q))') END AS raw_response
 FROM conversations WHERE role = 'assistant'"""
 
 ARTIFACTS = """

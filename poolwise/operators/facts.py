@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poolwise.functions.text import balanced, collapse_space
+from poolwise.functions.text import balanced_from, collapse_space
 
 # How a goal predicate is flipped and which fact contradicts another.
 FLIP = {"on": "on-table", "on-table": "on", "clear": "holding", "holding": "clear",
@@ -25,13 +25,10 @@ GENERAL_TYPES = ("swap_goal_args", "drop_init", "add_object", "drop_goal", "dup_
 DOMAIN_TYPES = {"blocksworld": GENERAL_TYPES + ("swap_objects",), "gripper": GENERAL_TYPES + ("swap_named",)}
 ALL_TYPES = GENERAL_TYPES + ("swap_objects", "swap_named")
 
-NESTING = 6
-
 
 def extract_section(text: Column, section: str) -> Column:
-    """Text of one section, NULL if there is none (or it nests deeper than NESTING)."""
-    found = F.regexp_extract(text, rf"(\(:{section}\s{balanced(NESTING)})", 1)
-    return F.when(found != "", found)
+    """Text of one section, NULL if there is none or its parentheses never close."""
+    return balanced_from(text, rf"\(:{section}\s")
 
 
 def section_facts(section: Column) -> Column:

@@ -7,11 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from poolwise.functions.scalars import md5_key
+from poolwise.session import work_path
 
 SCORE_BUCKETS = 4096
-HOT_SHARE = 500        # a key is hot above 1/500 of all rows, so at most 500 keys are
-HOT_ROWS = 1_000_000   # and only above this many rows
-HOT_BUCKETS = 1000
 
 
 def running_total(rows: DataFrame, value: str, order: Sequence[str], bucket: Column,
@@ -49,30 +47,36 @@ def score_bucket(score: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(-1), F.least(F.lit(SCORE_BUCKETS + 1), step)).cast("int")
 
 
-def number_rows(rows: DataFrame, key: str, order: Sequence[str], position: Column,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds ``rn``, the row number within ``key``, also where one key holds a large share of all rows.
+def in_ranges(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """``rows`` as a written table with ``_range``, the number of their range of (key, order).
 
-    ``position`` is a number that does not decrease along ``order``. The rows of a
-    hot key are cut into buckets of equal width of ``position``, numbered per
-    bucket and shifted by the sizes of the earlier buckets. The list of hot keys
-    has at most HOT_SHARE rows by its definition, which makes it safe to broadcast.
+    Ranges are cut from a sample of the rows, so they are of about equal size
+    whatever the keys. The table is written because a second evaluation could
+    sample other bounds.
     """
-    placed = rows.withColumn("_pos", position.cast("double"))
-    sizes = placed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-    total = rows.agg(F.count(F.lit(1)).alias("_total"))
-    hot = (sizes.where(F.col("_n") > hot_rows).join(F.broadcast(total), F.col("_n") * HOT_SHARE > F.col("_total"))
-           .select(F.col(key).alias("_key"), "_lo", "_hi"))
-    width = (F.col("_hi") - F.col("_lo") + 1) / HOT_BUCKETS
-    bucketed = (placed.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
-                .withColumn("_bucket", F.floor((F.col("_pos") - F.col("_lo")) / width).cast("int")))
-    inside = W.partitionBy(key, "_bucket").orderBy(*order)
-    numbered = bucketed.withColumn("_inside", F.row_number().over(inside))
-    earlier = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (bucketed.where("_bucket IS NOT NULL").groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-               .select(key, "_bucket", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before")))
-    # At most HOT_SHARE * HOT_BUCKETS rows.
-    return (numbered.join(F.broadcast(offsets), [key, "_bucket"], "left")
+    path = work_path(rows.sparkSession, "ranges")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, key, *order).withColumn("_range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    return rows.sparkSession.read.schema(ranged.schema).parquet(path)
+
+
+def number_rows(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Adds ``rn``, the row number within ``key`` along ``order`` (nulls first), also where one key holds most rows.
+
+    All rows take one path: they are dealt to ranges of (key, order), numbered
+    inside their range, and shifted by the rows of their key in earlier ranges.
+    Only the first key of a range has such rows, so the table of shifts has at
+    most one row per range, which makes it safe to broadcast.
+    """
+    stored = in_ranges(rows, key, order)
+    inside = W.partitionBy(key, "_range").orderBy(*order)
+    earlier = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    shifts = (stored.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_c"))
+              .select(F.col(key).alias("_key"), F.col("_range").alias("_in"), F.sum("_c").over(earlier).alias("_before"))
+              .where("_before > 0"))
+    numbered = stored.withColumn("_inside", F.row_number().over(inside))
+    return (numbered.join(F.broadcast(shifts), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_in")), "left")
             .withColumn("rn", (F.col("_inside") + F.coalesce("_before", F.lit(0))).cast("int"))
             .select(*rows.columns, "rn"))
 

@@ -92,6 +92,6 @@ def relabel_policy(x: Inputs) -> DataFrame:
 @query("label_timeouts")
 def label_timeouts(x: Inputs) -> DataFrame:
     """Candidates as evaluations; a latency of 4.5 s or more counts as a timeout."""
-    rows = x.candidates().withColumn("error", F.when(F.col("latency_sec") >= 4.5, "timeout").otherwise(F.col("error")))
+    rows = x.loose_candidates().withColumn("error", F.when(F.col("latency_sec") >= 4.5, "timeout").otherwise(F.col("error")))
     return facts.label_timeouts(rows).groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"), F.count_if("timed_out").alias("timeouts"))

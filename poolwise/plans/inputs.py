@@ -12,16 +12,24 @@ from poolwise.sources import tables as t
 
 
 class Inputs:
-    """Lazy views of one (session, folder); every method only builds a plan."""
+    """Views of one (session, folder) for one query. All build plans only, but numbering all candidates writes them, once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._numbered = spark, sf_dir, None
 
     def tasks(self) -> DataFrame:
         return t.styled_tasks(self.spark, self.dir)
 
     def candidates(self, max_k: int | None = None) -> DataFrame:
-        return t.candidates(self.spark, self.dir, max_k)
+        if max_k is not None:
+            return t.candidates(self.spark, self.dir, max_k)
+        if self._numbered is None:
+            self._numbered = t.candidates(self.spark, self.dir)
+        return self._numbered
+
+    def loose_candidates(self) -> DataFrame:
+        """All candidates without their index."""
+        return t.candidates(self.spark, self.dir, numbered=False)
 
     def repairs(self) -> DataFrame:
         return t.repair_rows(self.spark, self.dir)
@@ -30,7 +38,7 @@ class Inputs:
         return t.examples(self.spark, self.dir)
 
     def artifacts(self) -> DataFrame:
-        return t.artifacts(self.spark, self.dir)
+        return t.artifacts(self.candidates())
 
     def aggregates(self, *attrs: str, ks: Sequence[int] = sel.K_VALUES, alphas: Sequence[float] = ()) -> DataFrame:
         tasks = self.tasks().select("task_id", *attrs)

@@ -136,5 +136,5 @@ def write_examples(x: Inputs) -> DataFrame:
 def resume_pending(x: Inputs) -> DataFrame:
     """Tasks whose key is not in the written checkpoint table."""
     path = work_path(x.spark, "done")
-    x.candidates().select("task_id").write.parquet(path)
+    x.loose_candidates().select("task_id").write.parquet(path)
     return logs.resume_pending(x.tasks(), x.spark.read.parquet(path)).select("task_id", "domain", "seed")

@@ -52,7 +52,7 @@ def micro_rate(x: Inputs) -> DataFrame:
 
 @query("latency_summary")
 def latency_summary(x: Inputs) -> DataFrame:
-    return rounded(metrics.latency_summary(x.candidates()), "latency_total_sec", "latency_mean_sec", digits=6)
+    return rounded(metrics.latency_summary(x.loose_candidates()), "latency_total_sec", "latency_mean_sec", digits=6)
 
 
 def diagnostics(x: Inputs) -> DataFrame:

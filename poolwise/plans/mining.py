@@ -33,7 +33,7 @@ def mine_ranking_multi(x: Inputs) -> DataFrame:
 
 @query("mine_from_failures")
 def mine_from_failures(x: Inputs) -> DataFrame:
-    return mining.from_failures(x.members(), cases(x), domain="alpha").select(*EXAMPLE)
+    return mining.from_failures(x.members(), cases(x)).select(*EXAMPLE)
 
 
 @query("mine_focused")

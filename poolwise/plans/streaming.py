@@ -8,8 +8,6 @@ from poolwise.plans.inputs import Inputs
 from poolwise.plans.registry import query
 from poolwise.streaming import arrivals
 
-TARGET = 50_000
-
 
 @query("stream_ingest")
 def stream_ingest(x: Inputs) -> DataFrame:
@@ -20,4 +18,5 @@ def stream_ingest(x: Inputs) -> DataFrame:
 
 @query("stream_metrics")
 def stream_metrics(x: Inputs) -> DataFrame:
-    return arrivals.snapshot_report(arrivals.run_progress(x.spark, x.dir), TARGET)
+    """Progress of a run that has eight calls to make for every task."""
+    return arrivals.snapshot_report(arrivals.run_progress(x.spark, x.dir), 8 * x.tasks().count())

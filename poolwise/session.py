@@ -53,9 +53,3 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; nothing is ever overwritten there."""
     return os.path.join(shared_dir(spark), "poolwise", f"{name}-{uuid.uuid4().hex[:12]}")
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Give ``DataFrame.checkpoint`` a folder if the cluster has not named one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(shared_dir(spark), "checkpoints"))

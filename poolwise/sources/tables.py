@@ -38,22 +38,22 @@ def styled_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "style", style_label(F.col("init_is_abstract"), F.col("goal_is_abstract")))
 
 
-def candidates(spark: SparkSession, sf_dir: str, max_k: int | None = None) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, max_k: int | None = None, numbered: bool = True) -> DataFrame:
     """Candidates of every task, numbered from 0.
 
     With ``max_k`` only the first ``max_k`` of each task are numbered at all. The
     filter sits on the bare row number, so Spark trims each task before the
     shuffle (WindowGroupLimit) and a task with very many rows stays small.
-    Without it every row gets its number; tasks with a large share of all rows
-    are numbered in buckets.
+    Without it every row gets its number, unless ``numbered`` is off: then there
+    is no ``cand_idx`` and nothing is shuffled.
     """
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
     rows = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", *order, "l_returnflag", "l_linestatus", "l_quantity")
     if max_k is not None:
         rows = top_per_group(rows, ["l_orderkey"], order, max_k)
-    else:
-        rows = number_rows(rows, "l_orderkey", order, F.col("l_linenumber") * F.lit(1e12) + F.col("l_partkey"))
+    elif numbered:
+        rows = number_rows(rows, "l_orderkey", order)
     pk, sk, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber").cast("bigint")
     parseable = F.col("l_returnflag") != "R"
 
@@ -62,7 +62,7 @@ def candidates(spark: SparkSession, sf_dir: str, max_k: int | None = None) -> Da
 
     return rows.select(
         F.col("l_orderkey").alias("task_id"),
-        (F.col("rn") - 1).cast("int").alias("cand_idx"),
+        *([(F.col("rn") - 1).cast("int").alias("cand_idx")] if numbered else []),
         parseable.alias("parseable"),
         (parseable & (F.col("l_returnflag") == "A") & (F.col("l_quantity") >= 25)).alias("correct"),
         (parseable & (F.col("l_linestatus") == "F")).alias("solvable"),
@@ -123,20 +123,23 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw model output; two of three carry a fenced block."""
-    turn = (F.col("conv_id") + F.col("turn")) % 3
+    """Raw model output: plain, with a fenced block, nested up to 40 deep, or with a group that never closes."""
+    turn, nested = (F.col("conv_id") + F.col("turn")) % 5, (F.col("conv_id") % 40).cast("int")
     return load(spark, sf_dir, "conversations").where("role = 'assistant'").select(
         "conv_id", "turn", F.col("text").alias("body"),
         F.when(turn == 0, F.col("text"))
         .when(turn == 1, F.concat(F.lit("Sure.\n```pddl\n"), "text", F.lit("\n```\nDone.")))
-        .otherwise(F.concat(F.lit("```\n"), "text", F.lit("\n```"))).alias("raw_response"),
+        .when(turn == 2, F.concat(F.lit("```\n"), "text", F.lit("\n```")))
+        .when(turn == 3, F.concat(F.lit("Answer: (define (p) "), F.repeat(F.lit("(a "), nested), "text",
+                                  F.repeat(F.lit(")"), nested + 1), F.lit(" (more)")))
+        .otherwise(F.concat(F.lit("(define (p "), "text", F.lit(" (define (q))"))).alias("raw_response"),
     )
 
 
-def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-expression documents for the section, fact and corruption operators."""
+def artifacts(numbered: DataFrame) -> DataFrame:
+    """S-expression documents of numbered candidates, for the section, fact and corruption operators."""
     slot = F.struct("cand_idx", "payload", "model")
-    slots = candidates(spark, sf_dir).groupBy("task_id").agg(
+    slots = numbered.groupBy("task_id").agg(
         F.array_sort(F.collect_list(slot)).alias("slots"))
 
     def joined(build) -> Column:

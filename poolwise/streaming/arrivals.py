@@ -58,11 +58,17 @@ def write_progress(snapshot: DataFrame, path: str, checkpoint: str) -> Streaming
 
 
 def snapshot_report(state: DataFrame, total: int) -> DataFrame:
-    """Progress per status: done, remaining of ``total``, mean seconds per row and expected rest."""
-    mean = F.col("elapsed_sec") / F.greatest(F.col("done"), F.lit(1))
-    left = F.greatest(F.lit(0), F.lit(total) - F.col("done"))
-    return state.select("status", "done", left.alias("remaining"), F.round("elapsed_sec", 4).alias("elapsed_sec"),
-                        F.round(mean, 6).alias("avg_sec_per_row"), F.round(mean * left, 4).alias("eta_sec"))
+    """Progress per status, with that of the whole run: rows done in all, remaining of ``total`` and expected rest.
+
+    The window has one row per status.
+    """
+    run = Window.partitionBy(F.lit(0))
+    done, spent = F.sum("done").over(run), F.sum("elapsed_sec").over(run)
+    left = F.greatest(F.lit(0), F.lit(total) - done)
+    return state.select(
+        "status", "done", done.alias("completed"), left.alias("remaining"), F.round("elapsed_sec", 4).alias("elapsed_sec"),
+        F.round(F.col("elapsed_sec") / F.greatest(F.col("done"), F.lit(1)), 6).alias("avg_sec_per_row"),
+        F.round(spent / F.greatest(done, F.lit(1)) * left, 4).alias("eta_sec"))
 
 
 def run_ingest(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from poolwise.functions import scalars as S, text as X
 from poolwise.operators import calibration as cal, compare, facts, gates, mining, ordering, repair, splits
@@ -47,11 +47,20 @@ def test_template_family(spark):
 @pytest.mark.parametrize("raw, want", [
     ("Sure.\n```pddl\n(define (a))\n```\nDone", "(define (a))"), ("```\n x \n```", "x"),
     ("text (define (problem p) (:init (a (b (c))))) tail", "(define (problem p) (:init (a (b (c)))))"),
-    ("  plain  ", "plain"), ("(define (open", "(define (open")])
+    ("  plain  ", "plain"), ("(define (open", "(define (open"), ("", ""),
+    ("so \U0001f600 (define " + "(x" * 50 + ")" * 50 + ") and (more)", "(define " + "(x" * 50 + ")" * 50 + ")"),
+    ("(define (x (define (a))", "(define (x (define (a))"), ("x (define (a) ) ) (define (b))", "(define (a) )")])
 def test_extract_block(spark, raw, want):
     assert value(spark, X.extract_block(F.lit(raw))) == want
 
 
+def test_extract_section_at_any_depth(spark):
+    deep = "(:init " + "(a " * 50 + ")" * 50 + ")"
+    assert value(spark, facts.extract_section(F.lit(f"(define {deep} (:goal (b)))"), "init")) == deep
+    assert value(spark, facts.extract_section(F.lit("(:init (a) (:init (b))"), "init")) is None
+    assert value(spark, facts.extract_section(F.lit("(define (p))"), "init")) is None
+
+
 def test_content_key_matches_python(spark):
     import hashlib
     text = " a b\x1c c　\n\n d\t"
@@ -158,18 +167,24 @@ def test_running_total_by_brute_force(spark):
         assert r.total == sum(n for g, s, n in rows if g == r.g)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 10**9])
-def test_number_rows_with_and_without_hot_keys(spark, hot_rows):
-    """A third of the rows under one key; numbers equal those of one plain sort per key."""
+def test_number_rows_splits_a_hot_key(spark):
+    """A third of the rows under one key, nulls in key and order; numbers equal those of one plain window per key."""
     rng = random.Random(3)
-    rows = [(rng.choice([0, 0, 0, 1, 2, 3, 4, 5, 6]), rng.randint(1, 7), rng.randint(1, 50), i) for i in range(3000)]
+    rows = [(rng.choice([0, 0, 0, 1, 2, 3, 4, 5, None]), rng.choice([None, 1, 2, 3]), rng.randint(1, 50), i) for i in range(9000)]
     df = spark.createDataFrame(rows, "key long, line int, part long, id long")
-    out = ordering.number_rows(df, "key", ["line", "part", "id"], F.col("line") * 1000 + F.col("part"), hot_rows=hot_rows)
-    got = {r.id: r.rn for r in out.collect()}
-    by_key = {}
-    for k, line, part, i in sorted(rows):
-        by_key.setdefault(k, []).append(i)
-    assert got == {i: n for ids in by_key.values() for n, i in enumerate(ids, 1)}
+    order = ["line", "part", "id"]
+    out = ordering.number_rows(df, "key", order)
+    plain = df.withColumn("rn", F.row_number().over(W.partitionBy("key").orderBy(*order)))
+    assert sorted(map(tuple, out.select("id", "rn").collect())) == sorted(map(tuple, plain.select("id", "rn").collect()))
+    assert out.columns == [*df.columns, "rn"]
+    assert ordering.number_rows(df.where("false"), "key", order).count() == 0
+
+
+def test_ranges_of_a_hot_key_are_even(spark):
+    df = spark.range(9000).select((F.col("id") % 3).alias("key"), (F.col("id") * 7919 % 9001).alias("at"))
+    ranged = ordering.in_ranges(df.where("key = 0"), "key", ["at"])
+    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2 * sum(sizes) / len(sizes)
 
 
 def test_split_keeps_groups_whole_with_a_hot_group(spark):
