@@ -71,19 +71,29 @@ def build_repair_prompt(x: Inputs) -> DataFrame:
         F.col("nl"), F.col("original_payload"), F.col("domain"), feedback, CONTEXTS, SPECIAL).alias("prompt"))
 
 
+def _prompt_leaks(x: Inputs) -> DataFrame:
+    """Leaks of the generation prompts of all tasks, with or without a repair: its gold text, any of its candidates, the word."""
+    prompts = x.tasks().select("task_id", F.lit("prompt").alias("kind"),
+                               X.build_prompt(F.col("nl"), F.col("domain"), CONTEXTS).alias("text"))
+    nothing = F.lit(None).cast("string")
+    gold = prompts.join(x.artifacts().withColumnRenamed("artifact", "gold"), "task_id", "left")
+    own = prompts.join(x.candidates().select("task_id", F.col("payload").alias("candidate")), "task_id")
+    found = assemble.leakage_audit(own.withColumn("gold", nothing)).where("leak = 'candidate_text'").distinct()
+    return assemble.leakage_audit(gold.withColumn("candidate", nothing)).unionByName(found)
+
+
 @query("leakage_audit")
 def leakage_audit(x: Inputs) -> DataFrame:
-    """Prompts, repair prompts and feedback against the gold text, the candidate and the word."""
+    """Prompts of all tasks, repair prompts and feedback against the gold text, the candidates and the word."""
     rows = x.repairs().join(x.artifacts(), "task_id")
     feedback = _feedback()
     kinds = F.array(
-        F.struct(F.lit("prompt").alias("kind"), X.build_prompt(F.col("nl"), F.col("domain"), CONTEXTS).alias("text")),
         F.struct(F.lit("repair_prompt").alias("kind"), X.build_repair_prompt(
             F.col("nl"), F.col("original_payload"), F.col("domain"), feedback, CONTEXTS, SPECIAL).alias("text")),
         F.struct(F.lit("feedback").alias("kind"), feedback.alias("text")))
     texts = rows.select("task_id", F.col("artifact").alias("gold"), F.col("original_payload").alias("candidate"),
                         F.inline(kinds))
-    return assemble.leakage_audit(texts).select("task_id", "kind", "leak")
+    return _prompt_leaks(x).unionByName(assemble.leakage_audit(texts)).select("task_id", "kind", "leak")
 
 
 @query("plan_requests")
