@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from poolwise.llm import common
+
 TOKEN = re.compile(r"[^\W_]+")
 #: Labelled documents that the classifier is fitted on at most, those with the smallest hashes of their ids.
 SAMPLE = 30_000
@@ -147,13 +149,17 @@ def _automaton(terms: tuple[str, ...]) -> tuple[LexiconAutomaton, dict[str, int]
     return LexiconAutomaton(terms), {}
 
 
-def logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 0.1) -> list[float]:
-    """Weights (the first without feature) of a logistic regression with a small quadratic penalty, by Newton steps."""
+def logistic(features: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None, penalty: float = 0.1) -> list[float]:
+    """Weights (the first without feature) of a logistic regression with a small quadratic penalty, by Newton steps.
+
+    A row counts ``counts`` times.
+    """
+    counts = np.ones(len(features)) if counts is None else counts
     x = np.column_stack([np.ones(len(features)), features])
     weights, ridge = np.zeros(x.shape[1]), np.diag([1e-6] + [penalty] * features.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (labels - p) - ridge @ weights)
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (counts * (labels - p)) - ridge @ weights)
         weights = weights + step
         if np.abs(step).max() < 1e-8:
             break
@@ -218,12 +224,18 @@ def lexicon(sample: DataFrame) -> list[str]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled documents outside the held-out fifth.
 
-    The sampled ids are at most ``sample`` rows, so they may be broadcast: no text is shuffled.
+    Of rows that repeat a sampled id one counts, that with the smallest hash of its text. The sampled places are at most
+    ``sample`` rows, so they may be broadcast: no text is shuffled.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = common.scanned(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select(
+        "doc_id", "text", F.xxhash64(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("row"))
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "file", "row")).alias("first")
+    places = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(first)
+    places = common.written(places.select("doc_id", "toxic", "first.file", "first.row"), "toxicity-sample")
+    texts = rows.join(F.broadcast(places), ["doc_id", "file", "row"]).select("text", "toxic")
     model = Model(lexicon(texts))
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,12 +243,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             rows = [model.features(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
 
-    # Equal rows are counted, so what comes to the driver is a bounded table of features.
-    rows = (texts.select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int")
-            .orderBy(F.xxhash64("x", "toxic")).limit(sample).collect())
-    x = np.array([r["x"] for r in rows]).reshape(len(rows), 5)
-    y = np.array([r["toxic"] for r in rows], float)
-    model.weights = logistic(x, y) if len(rows) else [-3.0] + [0.0] * 5
+    # Equal rows are counted, so what comes to the driver is a table of features of at most ``sample`` rows.
+    found = texts.mapInArrow(measure, "x array<double>, toxic int").groupBy("x", "toxic").agg(F.count("*").alias("n"))
+    found = sorted(found.collect(), key=lambda r: (r["x"], r["toxic"]))
+    x = np.array([r["x"] for r in found]).reshape(len(found), 5)
+    y, n = np.array([r["toxic"] for r in found], float), np.array([r["n"] for r in found], float)
+    model.weights = logistic(x, y, n) if found else [-3.0] + [0.0] * 5
     return model
 
 

@@ -120,6 +120,28 @@ def test_toxicity_on_held_out_documents(spark, odd, none):
     assert toxicity.drop_toxic(odd, labels.where("false")).count() == odd.count()
 
 
+def test_toxicity_counts_a_repeated_document_once(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40)]
+    plain = lambda: " ".join(rng.choice(words, 8))
+    rows = [(k, plain() + (" you idiot" + " idiot" * (k % 3) if k % 2 else ""), k % 2) for k in range(300)]
+    labels = spark.createDataFrame([(k, label) for k, _, label in rows], "doc_id long, toxic int")
+    hot = next(k for k in range(0, 300, 2) if zlib.crc32(str(k).encode()) % 5)
+
+    def model(copies):
+        docs = [(k, text) for k, text, _ in rows] + [(hot, rows[hot][1])] * copies
+        return toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, 300)
+    once, often = model(0), model(5000)
+    assert once.terms and often.terms == once.terms and np.allclose(often.weights, once.weights)
+    assert often.score("you idiot") > 0.5 > often.score(words[0])
+
+
+def test_weighted_rows_fit_like_repeated_ones():
+    rng = np.random.default_rng(7)
+    x, y, n = rng.normal(size=(50, 5)), rng.integers(0, 2, 50).astype(float), rng.integers(1, 9, 50)
+    assert np.allclose(toxicity.logistic(x, y, n), toxicity.logistic(x.repeat(n, axis=0), y.repeat(n)))
+
+
 def test_pipeline(spark, sf_dir):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "exact_dedup", "ngram_jaccard_join", "source_mixing", "best_fit_packing"]
