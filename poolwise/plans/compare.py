@@ -16,9 +16,8 @@ from poolwise.session import work_path
 
 @query("join_task_text")
 def join_task_text(x: Inputs) -> DataFrame:
-    """Candidates of all tasks against the text of the abstract tasks only: the rest is reported missing."""
-    tasks = x.tasks().where("init_is_abstract = 1")
-    return compare.join_task_text(x.candidates().select("task_id", "cand_idx", "payload"), tasks)
+    """Candidates with the text of their task; those without a task in the table are reported missing."""
+    return compare.join_task_text(x.candidates().select("task_id", "cand_idx", "payload"), x.tasks())
 
 
 def _mined(x: Inputs) -> DataFrame:
@@ -26,8 +25,8 @@ def _mined(x: Inputs) -> DataFrame:
 
 
 def _base(x: Inputs) -> DataFrame:
-    """Base examples: the candidates of abstract tasks."""
-    tasks = x.tasks().where("init_is_abstract = 1").select("task_id", "nl", "template_id")
+    """Base examples: the candidates of all tasks."""
+    tasks = x.tasks().select("task_id", "nl", "template_id")
     return x.candidates().join(tasks, "task_id").select(
         "nl", "payload", F.when(F.col("correct"), 1).otherwise(0).alias("label"), "template_id", "parseable")
 

@@ -123,8 +123,8 @@ def run_counters(x: Inputs) -> DataFrame:
 
 @query("augment_base")
 def augment_base(x: Inputs) -> DataFrame:
-    """Base rows of abstract tasks plus the mined rows they do not hold."""
-    tasks = x.tasks().where("init_is_abstract = 1").select("task_id", "nl", "template_id")
+    """Base rows of all tasks plus the mined rows they do not hold."""
+    tasks = x.tasks().select("task_id", "nl", "template_id")
     base = x.candidates().join(tasks, "task_id").select(
         "nl", "payload", F.when(F.col("correct"), 1).otherwise(0).alias("label"), "template_id", "parseable")
     new = mining.ranking_examples(x.members(ks=(8,)), negative_only=1).select(
