@@ -264,9 +264,9 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
 
 def texts(docs: DataFrame, removals: DataFrame) -> DataFrame:
-    """``docs`` with all their columns and ``kept``, the words that ``remove_repeats`` leaves, joined by blanks."""
+    """(doc: all columns of ``docs`` as a struct, kept: the words that ``remove_repeats`` leaves, joined by blanks)."""
     spans_of = removals.select("file", "row", "removed")
     rows = common.with_row_numbers(common.scanned(docs)).join(spans_of, ["file", "row"])
     words = F.filter(F.split(F.coalesce("doc.text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     kept = F.filter(words, lambda w, i: ~F.exists("removed", lambda r: (r["start"] <= i) & (i < r["end"])))
-    return rows.select("doc.*", F.array_join(kept, " ").alias("kept"))
+    return rows.select("doc", F.array_join(kept, " ").alias("kept"))
