@@ -1,12 +1,11 @@
 """Expected results of the calibration queries, computed from the rows and not from a histogram."""
 
 from oracle.views import define, q
-from poolwise.operators.calibration import BIN_EDGES
 
 SQL = {}
 THRESHOLDS = "[" + ", ".join(f"{5 * i / 100}" for i in range(1, 20)) + "]::DOUBLE[]"
 TEMPERATURES = "[" + ", ".join(f"{round(0.5 + 0.05 * i, 2)}" for i in range(91)) + "]::DOUBLE[]"
-EDGES = "[" + ", ".join(repr(e) for e in BIN_EDGES) + "]::DOUBLE[]"
+EDGES = "[0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]::DOUBLE[]"
 LOGIT = "ln(greatest(0.001::DOUBLE, least(0.999::DOUBLE, score)) / (1.0::DOUBLE - greatest(0.001::DOUBLE, least(0.999::DOUBLE, score))))"
 
 
@@ -82,3 +81,48 @@ SELECT verifier, k, policy, count(*) AS total, count_if(parseable) AS parse_coun
 FROM (SELECT 'scorer_a' AS verifier, * FROM basic WHERE policy <> 'random_parseable' UNION ALL SELECT 'scorer_b', * FROM greedy
       UNION ALL SELECT 'scorer_b', * REPLACE ('verifier_ranked' AS policy) FROM ranked_b) JOIN pool_stats USING (task_id, k)
 GROUP BY verifier, k, policy""", "basic", "greedy", "ranked_b", "pool_stats")
+
+
+def isotonic(fitted: str, applied: str) -> dict[str, str]:
+    """Local views: the fit as the largest over starts of the least over ends of the share of positives, read off by lines."""
+    return {
+        "points": f"""SELECT score, row_number() OVER (ORDER BY score) AS i, sum(count(*)) OVER (ORDER BY score) AS n, sum(sum(label)) OVER (ORDER BY score) AS p
+          FROM {fitted} GROUP BY score""",
+        "shares": """SELECT s.i AS s, e.i AS e, CAST(e.p - coalesce(b.p, 0) AS DOUBLE) / CAST(e.n - coalesce(b.n, 0) AS DOUBLE) AS share
+          FROM points s JOIN points e ON e.i >= s.i LEFT JOIN points b ON b.i = s.i - 1""",
+        "fitted": """SELECT score, max(low) AS v FROM (SELECT s, e, min(share) OVER (PARTITION BY s ORDER BY e DESC) AS low FROM shares)
+          JOIN points ON i = e GROUP BY score""",
+        "read_off": f"""SELECT q.score, CASE WHEN p.v IS NULL THEN n.v WHEN n.v IS NULL OR p.score = n.score THEN p.v
+            ELSE p.v + (q.score - p.score) * (n.v - p.v) / (n.score - p.score) END AS iso
+          FROM (SELECT DISTINCT score FROM {applied}) q ASOF LEFT JOIN fitted p ON q.score >= p.score ASOF LEFT JOIN fitted n ON q.score <= n.score"""}
+
+
+CLIPPED = "greatest(1e-6::DOUBLE, least(1.0::DOUBLE - 1e-6::DOUBLE, iso))"
+SQL["fit_isotonic"] = q(f"""
+SELECT doc_id, score, round({CLIPPED}, 9) AS isotonic FROM examples JOIN read_off USING (score)""", "examples", **isotonic("examples", "examples"))
+
+
+def report(fitted: str, applied: str) -> tuple[str, dict[str, str]]:
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + exp(-{LOGIT} / temperature)))"
+    views = isotonic(fitted, applied) | {
+        "best_t": f"""SELECT temperature FROM (SELECT temperature, round({loss(t)}, 9) AS l FROM (SELECT *, unnest({TEMPERATURES}) AS temperature FROM {fitted})
+          GROUP BY temperature) ORDER BY l, temperature LIMIT 1""",
+        "versions": f"""SELECT label, score, 'raw' AS version FROM {applied} UNION ALL SELECT label, {t}, 'temperature' FROM {applied}, best_t
+          UNION ALL SELECT label, {CLIPPED}, 'isotonic' FROM {applied} JOIN read_off USING (score)""",
+        "version_rows": f"SELECT *, unnest({THRESHOLDS}) AS threshold FROM versions",
+        "version_f1": f"""SELECT version, threshold, f1 AS best_f1 FROM (SELECT *, row_number() OVER (PARTITION BY version ORDER BY f1 DESC, threshold) AS r
+          FROM ({binary('version, threshold', 'version_rows', 'score >= threshold')})) WHERE r = 1"""}
+    return f"""
+SELECT version, n, positives, negatives, log_loss, auc, round(ece, 9) AS ece, threshold, best_f1
+FROM (SELECT version, count(*) AS n, count_if(label = 1) AS positives, count_if(label = 0) AS negatives, round({loss('score')}, 9) AS log_loss FROM versions GROUP BY version)
+JOIN ({auc('version', 'versions')}) USING (version) JOIN ({ece('version', 'versions')}) USING (version) JOIN version_f1 USING (version)""", views
+
+
+_body, _views = report("examples", "examples")
+SQL["calibrate_same_split"] = q(_body, "examples", **_views)
+_body, _views = report("fitted_rows", "applied_rows")
+SQL["calibrate"] = q(_body, "examples", split_rows="""
+SELECT e.label, e.score, coalesce(before, 0) < floor(total * 0.5::DOUBLE) AS first FROM examples e JOIN (
+  SELECT template_id, sum(n) OVER (ORDER BY md5(concat_ws('|', '123', template_id)), template_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+    sum(n) OVER () AS total FROM (SELECT template_id, count(*) AS n FROM examples GROUP BY template_id)) USING (template_id)""",
+                     fitted_rows="SELECT * FROM split_rows WHERE first", applied_rows="SELECT * FROM split_rows WHERE NOT first", **_views)

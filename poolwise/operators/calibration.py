@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from poolwise.functions.scalars import safe_rate
-from poolwise.operators.ordering import running_total, score_bucket
+from poolwise.operators import isotonic
+from poolwise.operators.ordering import running_total
 
 # Threshold grid, temperature grid, bin edges and clipping limits.
 THRESHOLDS = tuple(round(0.05 * i, 2) for i in range(1, 20))
@@ -38,7 +38,7 @@ def _group(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
 def auc(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Tie-corrected area under the ROC curve; one class only gives 0.0."""
     neg = F.col("n") - F.col("pos")
-    run = running_total(hist.withColumn("neg", neg), "neg", ["score"], score_bucket(F.col("score")), by)
+    run = running_total(hist.withColumn("neg", neg), "neg", ["score"], by=by)
     wins = F.sum(F.col("pos") * (F.col("before") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.max("total")
     return _group(run, by, F.when(pairs > 0, wins / F.when(pairs > 0, pairs)).otherwise(0.0).alias("auc"))
@@ -175,25 +175,24 @@ def fit_temperature(hist: DataFrame, temperatures: Sequence[float] = TEMPERATURE
     return losses.agg(best).select("best.temperature", "best.loss")
 
 
-def fit_isotonic(hist: DataFrame) -> IsotonicRegressionModel:
-    """Increasing map from raw score to probability, fitted on the weighted histogram."""
-    data = hist.select("score", (F.col("pos") / F.col("n")).alias("rate"), F.col("n").cast("double").alias("weight"))
-    return IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="weight",
-                              predictionCol="isotonic").fit(data)
+def fit_isotonic(hist: DataFrame) -> DataFrame:
+    """Increasing map from raw score to probability, fitted on the histogram: a table of blocks."""
+    return isotonic.fit(hist)
 
 
-def apply_isotonic(model: IsotonicRegressionModel, rows: DataFrame) -> DataFrame:
-    """Calibrated score; outside the fitted range the end values hold."""
+def apply_isotonic(blocks: DataFrame, rows: DataFrame) -> DataFrame:
+    """Calibrated score; outside the fitted range the end values hold. A score is looked up once, however many rows have
+    it, and rows without a score have no calibrated one."""
     low, high = ISOTONIC_CLIP
-    return model.transform(rows).withColumn(
-        "isotonic", F.greatest(F.lit(low), F.least(F.lit(high), F.col("isotonic"))))
+    values = isotonic.lookup(blocks, rows.select("score").where("score IS NOT NULL").distinct())
+    clipped = F.greatest(F.lit(low), F.least(F.lit(high), F.col("isotonic")))
+    return rows.join(values.withColumn("isotonic", F.when(F.col("isotonic").isNotNull(), clipped)), "score", "left")
 
 
 def calibrate(calibration: DataFrame, evaluation: DataFrame) -> DataFrame:
     """Row dump: raw, temperature-scaled and isotonic score of every evaluation row.
 
-    The only values that reach the driver are the temperature and the isotonic
-    steps.
+    The only value that reaches the driver is the temperature.
     """
     hist = histogram(calibration)
     temperature = fit_temperature(hist).first()["temperature"]

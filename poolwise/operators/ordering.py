@@ -11,18 +11,24 @@ from poolwise.session import work_path
 
 SCORE_BUCKETS = 4096
 
-
-def running_total(rows: DataFrame, value: str, order: Sequence[str], bucket: Column,
+def running_total(rows: DataFrame, value: str, order: Sequence[str], bucket: Column | None = None,
                   by: Sequence[str] = ()) -> DataFrame:
     """Adds ``before`` (exclusive running sum in ``order``) and ``total`` per ``by`` group.
 
-    ``bucket`` must not decrease along ``order``. Rows are summed inside their
-    bucket, and the buckets' own running sum gives the offset, so no task sees
-    more than one bucket. Only the bucket table (at most a few thousand rows per
-    group) is ordered as a whole.
+    ``bucket`` must not decrease along ``order``; without it the buckets are
+    ranges cut from a sample of the rows, even whatever the values are. Rows are
+    summed inside their bucket, and the buckets' own running sum gives the
+    offset, so no task sees more than one bucket. Only the bucket table (a few
+    thousand rows per group, or one per range and group in it) is ordered as a
+    whole.
     """
     by = list(by)
-    marked = rows.withColumn("_bucket", bucket)
+    if bucket is None:
+        first, *rest = [*by, *order]
+        rows = in_ranges(rows, first, rest)
+        marked = rows.withColumnRenamed("_range", "_bucket")
+    else:
+        marked = rows.withColumn("_bucket", bucket)
     buckets = marked.groupBy(*by, "_bucket").agg(F.sum(value).alias("_sum"))
     across = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     earlier = across.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -42,11 +48,15 @@ def hex_bucket(key: Column) -> Column:
 
 
 def score_bucket(score: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """Bucket of a score expected in low..high; values outside share the outermost buckets."""
+    """Even bucket of a score known to lie in low..high; values outside share the outermost buckets."""
     step = F.floor((score - low) / (high - low) * SCORE_BUCKETS)
     return F.greatest(F.lit(-1), F.least(F.lit(SCORE_BUCKETS + 1), step)).cast("int")
 
 
+def range_count(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def in_ranges(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """``rows`` as a written table with ``_range``, the number of their range of (key, order).
 
@@ -55,8 +65,7 @@ def in_ranges(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     sample other bounds.
     """
     path = work_path(rows.sparkSession, "ranges")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, key, *order).withColumn("_range", F.spark_partition_id())
+    ranged = rows.repartitionByRange(range_count(rows.sparkSession), key, *order).withColumn("_range", F.spark_partition_id())
     ranged.write.parquet(path)
     return rows.sparkSession.read.schema(ranged.schema).parquet(path)
 
@@ -98,8 +107,40 @@ def top_per_group(rows: DataFrame, by: Sequence[str], order: Sequence[str | Colu
 
 
 def sample_n(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` seeded random rows (a TakeOrdered: each task keeps n)."""
-    return rows.orderBy(md5_key(seed, F.col(key)), key).limit(n)
+    """Exactly ``n`` seeded random rows: those with the least md5, ties by key.
+
+    The hashes are counted by their first three digits; the n-th row lies in one of
+    these 4096 buckets, and is found there by counting the next three, and so on.
+    Every step is a filter and a count with at most 4096 groups, so no task and no
+    sort holds the sample. Rows with one key are counted together: of the last key
+    as many as are missing stay, by a row number within it.
+    """
+    hashed = rows.withColumn("_h", md5_key(seed, F.col(key)))
+    if n <= 0:
+        return rows.limit(0)
+    prefix, missing = "", n
+    while len(prefix) < 32:
+        size = len(prefix) + 3 if len(prefix) < 30 else 32
+        digits = F.substring("_h", 1, size)
+        counts = sorted(hashed.where(F.col("_h").startswith(prefix)).groupBy(digits.alias("d")).count().collect())
+        if not prefix and sum(r["count"] for r in counts) <= n:
+            return rows
+        for r in counts:
+            if r["count"] > missing:
+                prefix = r["d"]
+                break
+            missing -= r["count"]
+            prefix = r["d"]
+            if not missing:
+                break
+        if not missing:
+            break
+    taken = hashed.where(F.substring("_h", 1, len(prefix)) < prefix)
+    here = hashed.where(F.col("_h").startswith(prefix))
+    if missing:
+        rank = F.row_number().over(W.partitionBy("_h").orderBy(key))
+        here = here.withColumn("_rn", rank).where(F.col("_rn") <= missing).drop("_rn")
+    return taken.unionByName(here).drop("_h")
 
 
 def sample_per_stratum(rows: DataFrame, strata: Sequence[str], n: int, key: str, seed: int = 42) -> DataFrame:
@@ -110,15 +151,14 @@ def sample_per_stratum(rows: DataFrame, strata: Sequence[str], n: int, key: str,
 
 
 def nearest_rank_quantiles(values: DataFrame, group: Sequence[str], value: str,
-                           fractions: dict[str, float], low: float = -1.0, high: float = 1.0) -> DataFrame:
+                           fractions: dict[str, float]) -> DataFrame:
     """Exact quantiles at rank round((n - 1) * f), half to even, with count, mean, min and max.
 
     Works on the histogram of distinct values, so a group of any size is never
-    collected or sorted row by row. Values are expected in low..high; others are
-    still right but share a bucket.
+    collected or sorted row by row; ranges of values are cut from the histogram.
     """
     hist = values.groupBy(*group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    run = running_total(hist, "c", ["v"], score_bucket(F.col("v"), low, high), group)
+    run = running_total(hist, "c", ["v"], by=group)
 
     def at(fraction: float) -> Column:
         rank = F.bround((F.col("total") - 1) * F.lit(fraction), 0).cast("bigint")

@@ -76,8 +76,7 @@ def apply_temperature(x: Inputs) -> DataFrame:
 
 @query("fit_isotonic")
 def fit_isotonic(x: Inputs) -> DataFrame:
-    model = cal.fit_isotonic(hist(x))
-    return cal.apply_isotonic(model, x.examples()).select("doc_id", "score", F.round("isotonic", 9).alias("isotonic"))
+    return cal.apply_isotonic(cal.fit_isotonic(hist(x)), x.examples()).select("doc_id", "score", F.round("isotonic", 9).alias("isotonic"))
 
 
 def _calibration_parts(x: Inputs) -> tuple[DataFrame, DataFrame]:
