@@ -7,7 +7,7 @@ SQL = {}
 
 SQL["join_task_text"] = q("""
 SELECT c.task_id, c.cand_idx, c.payload, t.nl, t.domain, t.task_id IS NULL AS missing_source
-FROM candidates c LEFT JOIN (SELECT * FROM tasks WHERE init_is_abstract = 1) t ON t.task_id = c.task_id""", "candidates", "tasks")
+FROM candidates c LEFT JOIN tasks t ON t.task_id = c.task_id""", "candidates", "tasks")
 
 # Ranking examples: top 2 positives, top 4 negatives, one negative of pools without positives.
 define("ranking_all", """
@@ -21,7 +21,7 @@ define("mined8", "SELECT * FROM ranking_all WHERE k = 8", "ranking_all")
 
 SQL["anti_base_keys"] = q("""
 SELECT task_id, cand_idx, label, source, template_id FROM mined8 m
-WHERE NOT EXISTS (SELECT 1 FROM candidates c JOIN tasks t USING (task_id) WHERE t.init_is_abstract = 1 AND c.parseable
+WHERE NOT EXISTS (SELECT 1 FROM candidates c JOIN tasks t USING (task_id) WHERE c.cand_idx < 4 AND c.parseable
   AND t.nl = m.nl AND c.payload = m.payload AND CAST(c.correct AS INT) = m.label AND t.template_id = m.template_id)""",
                           "mined8", "candidates", "tasks")
 

@@ -88,7 +88,7 @@ SQL["augment_base"] = q("""
 SELECT nl, payload, label, template_id, parseable FROM base
 UNION ALL SELECT nl, payload, label, template_id, true FROM mined8 m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.parseable AND b.nl = m.nl
   AND b.payload = m.payload AND b.label = m.label AND b.template_id = m.template_id)""", "mined8", "candidates", "tasks",
-    base="SELECT nl, payload, CAST(correct AS INT) AS label, template_id, parseable FROM candidates JOIN tasks USING (task_id) WHERE init_is_abstract = 1")
+    base="SELECT nl, payload, CAST(correct AS INT) AS label, template_id, parseable FROM candidates JOIN tasks USING (task_id) WHERE cand_idx < 4")
 SQL["oversample"] = q("SELECT task_id, cand_idx, label, c AS copy FROM hard_negatives, (SELECT CAST(unnest([1, 2, 3]) AS INT) AS c)", "hard_negatives")
 
 # Samples.

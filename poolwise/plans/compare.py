@@ -24,16 +24,17 @@ def _mined(x: Inputs) -> DataFrame:
     return mining.ranking_examples(x.members(ks=(8,)), negative_only=1)
 
 
-def _base(x: Inputs) -> DataFrame:
-    """Base examples: the candidates of all tasks."""
+def earlier_base(x: Inputs) -> DataFrame:
+    """Base examples of an earlier run: the first four candidates of every task, labelled."""
     tasks = x.tasks().select("task_id", "nl", "template_id")
-    return x.candidates().join(tasks, "task_id").select(
+    return x.candidates(4).join(tasks, "task_id").select(
         "nl", "payload", F.when(F.col("correct"), 1).otherwise(0).alias("label"), "template_id", "parseable")
 
 
 @query("anti_base_keys")
 def anti_base_keys(x: Inputs) -> DataFrame:
-    base = _base(x).where("parseable")
+    """Rows mined at K = 8 that the base of the run at K = 4 does not hold."""
+    base = earlier_base(x).where("parseable")
     return compare.anti_keys(_mined(x), base, mining.EXAMPLE_KEY).select("task_id", "cand_idx", "label", "source", "template_id")
 
 

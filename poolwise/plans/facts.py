@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from poolwise.operators import facts
+from poolwise.operators import edits, facts
 from poolwise.plans.inputs import Inputs
 from poolwise.plans.registry import query
 
 SETTINGS = facts.Corruption(seed=7, object_prefix="c", named=("model_0", "model_1"),
                             contradictions={**facts.CONTRADICTION, "supplies": "holding"})
-MANY = ("drop_init", "swap_goal_args", "add_object")
+EDITOR = edits.Editor(SETTINGS)
+#: Mixed corruptions flip a predicate of these goals too, and draw by domain; the third domain has no pool of its own.
+MANY = edits.Editor(facts.Corruption(seed=7, object_prefix="c", named=("model_0", "model_1"), contradictions=SETTINGS.contradictions,
+                                     flips={**facts.FLIP, "rank": "on-table"}))
+POOLS = {"alpha": facts.DOMAIN_TYPES["blocksworld"], "beta": facts.DOMAIN_TYPES["gripper"]}
 
 
 def parsed(x: Inputs) -> DataFrame:
@@ -24,25 +28,29 @@ def extract_section(x: Inputs) -> DataFrame:
 
 @query("explode_facts")
 def explode_facts(x: Inputs) -> DataFrame:
-    return facts.explode_facts(parsed(x), ["task_id"]).select(
-        "task_id", "section", "pos", "pred", F.array_join("args", " ").alias("args"))
+    return x.facts().where("section <> 'objects'").select(
+        "task_id", "section", "pos", F.get("w", F.lit(0)).alias("pred"),
+        F.array_join(F.slice("w", 2, F.size("w")), " ").alias("args"))
+
+
+def _head() -> Column:
+    return F.concat(F.lit("(define (problem t"), F.col("task_id").cast("string"), F.lit(") (:domain supply)"))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("task_id", "section", "pos", edits.shown(F.col("section"), F.col("w")).alias("fact"))
 
 
 @query("render_artifact")
 def render_artifact(x: Inputs) -> DataFrame:
-    """Text rebuilt from the fact table; equal to the original artifact."""
-    rows = parsed(x)
-    header = F.regexp_extract("artifact", r"^(.*?)\s*\(:objects", 1)
-    head = rows.select("task_id", header.alias("header"), facts.render_objects(F.col("object_list")).alias("objects"))
-    sections = facts.render_from_facts(facts.explode_facts(rows, ["task_id"]), ["task_id"])
-    return head.join(sections, "task_id").select(
-        "task_id", F.concat(F.concat_ws(" ", "header", "objects", "init", "goal"), F.lit(")")).alias("artifact"))
+    """Text built from the fact table; equal to the original artifact."""
+    return edits.render(_shown(x.facts()), _head())
 
 
 def _corrupt(name: str, kind: str) -> None:
     @query(name)
     def build(x: Inputs) -> DataFrame:
-        return SETTINGS.corrupt(parsed(x), kind).select("task_id", "corrupted")
+        return EDITOR.edit(x.facts(), kind).select("task_id", "section", "pos", "op", "fact")
 
 
 for _kind in facts.ALL_TYPES:
@@ -51,35 +59,46 @@ for _kind in facts.ALL_TYPES:
 
 @query("corrupt_many")
 def corrupt_many(x: Inputs) -> DataFrame:
-    return SETTINGS.corrupt_many(parsed(x), 2, MANY).select("task_id", "attempt", "kind", "rn", "corrupted")
+    """Two corruptions of every task, of kinds that its domain has; a domain without a pool draws from all kinds."""
+    return MANY.edit_many(x.facts(), x.tasks(), 2, POOLS).drop("rn").withColumn("attempt", F.col("attempt").cast("int"))
 
 
 @query("corrupt_simple")
 def corrupt_simple(x: Inputs) -> DataFrame:
-    return SETTINGS.corrupt_simple(parsed(x)).select("task_id", "kind", "corrupted")
+    """Every task with its kind, and its edits; a task too small for its kind has one row without an edit."""
+    kinds, found = EDITOR.edit_simple(x.facts())
+    return kinds.join(found.drop("kind", "attempt"), "task_id", "left").select("task_id", "kind", "section", "pos", "op", "fact")
+
+
+def _simple_diff(x: Inputs) -> tuple[DataFrame, DataFrame]:
+    kinds, found = EDITOR.edit_simple(x.facts())
+    return kinds, edits.fact_diff(_shown(x.facts()), edits.applied(x.facts(), found))
 
 
 @query("fact_diff")
 def fact_diff(x: Inputs) -> DataFrame:
-    return facts.fact_diff(SETTINGS.corrupt_simple(parsed(x))).select(
-        "task_id", "missing", "extra", "common", "jaccard", "exact")
+    return _simple_diff(x)[1]
 
 
 def labelled_corruptions(x: Inputs, policy: str) -> DataFrame:
-    return facts.label_corruptions(SETTINGS.corrupt_simple(parsed(x)), policy)
+    """(task_id, kind, label, ...) without texts."""
+    return edits.label(*_simple_diff(x), policy)
+
+
+def corrupted_texts(x: Inputs) -> DataFrame:
+    """(task_id, corrupted) of all tasks."""
+    return edits.render(edits.applied(x.facts(), EDITOR.edit_simple(x.facts())[1]), _head()).withColumnRenamed("artifact", "corrupted")
 
 
 @query("label_corruptions")
 def label_corruptions(x: Inputs) -> DataFrame:
-    """Every policy, with its counts."""
-    out = None
-    for policy in ("keep", "relabel", "drop"):
-        part = labelled_corruptions(x, policy).groupBy("kind").agg(
-            F.count(F.lit(1)).alias("n"), F.count_if("equals_gold").alias("equal_gold"),
-            F.count_if(F.col("label") == 1).alias("positives"),
-            F.count_if("relabelled").alias("relabelled")).withColumn("policy", F.lit(policy))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every policy, with its counts, from one comparison."""
+    policies = F.explode(F.array(*[F.lit(p) for p in ("keep", "relabel", "drop")]))
+    rows = labelled_corruptions(x, "keep").select("kind", "equals_gold", policies.alias("policy"))
+    equal, policy = F.col("equals_gold"), F.col("policy")
+    return rows.where(~(equal & (policy == "drop"))).groupBy("kind", "policy").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(equal).alias("equal_gold"), F.count_if(equal & (policy == "keep")).alias("positives"),
+        F.count_if(equal & (policy == "relabel")).alias("relabelled"))
 
 
 @query("relabel_policy")

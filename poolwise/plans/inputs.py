@@ -40,6 +40,9 @@ class Inputs:
     def artifacts(self) -> DataFrame:
         return t.artifacts(self.candidates())
 
+    def facts(self) -> DataFrame:
+        return t.facts(self.candidates())
+
     def aggregates(self, *attrs: str, ks: Sequence[int] = sel.K_VALUES, alphas: Sequence[float] = ()) -> DataFrame:
         tasks = self.tasks().select("task_id", *attrs)
         return sel.pool_aggregates(tasks, self.candidates(max(ks)), ks, alphas=alphas)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from poolwise.operators import assemble, compare, mining, ordering, selection as sel, splits
-from poolwise.plans.compare import hurt_keys
-from poolwise.plans.facts import labelled_corruptions
+from poolwise.plans.compare import earlier_base, hurt_keys
+from poolwise.plans.facts import corrupted_texts, labelled_corruptions
 from poolwise.plans.inputs import Inputs
 from poolwise.plans.registry import query
 from poolwise.plans.scalars import cases
@@ -86,20 +86,24 @@ def pair_stats(x: Inputs) -> DataFrame:
 
 # ---------------------------------------------------------------- assembly
 
-def assembled(x: Inputs) -> DataFrame:
+def assembled(x: Inputs, texts: bool = False) -> DataFrame:
+    """All examples; their texts are built only where they are asked for, as statistics need none."""
     tasks = x.tasks().select("task_id", "domain")
-    gold = x.artifacts().join(tasks, "task_id").select("task_id", F.col("artifact").alias("text"), "domain")
-    cand = x.candidates().join(tasks, "task_id").select(
+    nothing = F.lit(None).cast("string")
+    whole = x.artifacts() if texts else x.loose_candidates().select("task_id", nothing.alias("artifact")).distinct()
+    gold = whole.join(tasks, "task_id").select("task_id", F.col("artifact").alias("text"), "domain")
+    cand = x.loose_candidates().join(tasks, "task_id").select(
         "task_id", F.col("payload").alias("text"), F.when(F.col("correct"), 1).otherwise(0).alias("label"),
         F.lit("local").alias("backend"), "model", "domain", "parseable")
-    bad = labelled_corruptions(x, "relabel").join(tasks, "task_id").select(
-        "task_id", F.col("corrupted").alias("text"), "label", "kind", "domain")
+    labelled = labelled_corruptions(x, "relabel")
+    labelled = labelled.join(corrupted_texts(x), "task_id") if texts else labelled.withColumn("corrupted", nothing)
+    bad = labelled.join(tasks, "task_id").select("task_id", F.col("corrupted").alias("text"), "label", "kind", "domain")
     return assemble.assemble_examples(gold, cand, bad)
 
 
 @query("assemble_examples")
 def assemble_examples(x: Inputs) -> DataFrame:
-    return assembled(x).select("task_id", "label", "source", "source_model", "perturbation_type", "domain", "parseable",
+    return assembled(x, texts=True).select("task_id", "label", "source", "source_model", "perturbation_type", "domain", "parseable",
                                F.md5("text").alias("text_md5"))
 
 
@@ -123,10 +127,8 @@ def run_counters(x: Inputs) -> DataFrame:
 
 @query("augment_base")
 def augment_base(x: Inputs) -> DataFrame:
-    """Base rows of all tasks plus the mined rows they do not hold."""
-    tasks = x.tasks().select("task_id", "nl", "template_id")
-    base = x.candidates().join(tasks, "task_id").select(
-        "nl", "payload", F.when(F.col("correct"), 1).otherwise(0).alias("label"), "template_id", "parseable")
+    """The base of an earlier run at K = 4 plus the rows mined at K = 8 that it does not hold."""
+    base = earlier_base(x)
     new = mining.ranking_examples(x.members(ks=(8,)), negative_only=1).select(
         "nl", "payload", "label", "template_id", F.lit(True).alias("parseable"))
     return assemble.augment(base, new, mining.EXAMPLE_KEY)

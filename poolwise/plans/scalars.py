@@ -77,7 +77,7 @@ def _prompt_leaks(x: Inputs) -> DataFrame:
                                X.build_prompt(F.col("nl"), F.col("domain"), CONTEXTS).alias("text"))
     nothing = F.lit(None).cast("string")
     gold = prompts.join(x.artifacts().withColumnRenamed("artifact", "gold"), "task_id", "left")
-    own = prompts.join(x.candidates().select("task_id", F.col("payload").alias("candidate")), "task_id")
+    own = prompts.join(x.loose_candidates().select("task_id", F.col("payload").alias("candidate")), "task_id")
     found = assemble.leakage_audit(own.withColumn("gold", nothing)).where("leak = 'candidate_text'").distinct()
     return assemble.leakage_audit(gold.withColumn("candidate", nothing)).unionByName(found)
 

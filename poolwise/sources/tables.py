@@ -161,6 +161,15 @@ def artifacts(numbered: DataFrame) -> DataFrame:
     )
 
 
+def facts(numbered: DataFrame) -> DataFrame:
+    """The facts of the same documents, a row each: task_id, section, pos, w (words; of an object its name)."""
+    name = F.concat(F.lit("c"), F.col("cand_idx").cast("string"))
+    rows = F.array(*[F.struct(F.lit(section).alias("section"), w.alias("w")) for section, w in (
+        ("objects", F.array(name)), ("init", F.split(F.translate("payload", "()", ""), " ")),
+        ("goal", F.array(F.lit("rank"), name, F.col("model"))))])
+    return numbered.select("task_id", F.col("cand_idx").alias("pos"), F.inline(rows)).select("task_id", "section", "pos", "w")
+
+
 def stream(events: DataFrame) -> DataFrame:
     """Append-only arrivals; works on a batch or a streaming read of the events table."""
     return events.select(
