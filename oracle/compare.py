@@ -61,9 +61,10 @@ FROM basic b LEFT JOIN candidates c ON c.task_id = b.task_id AND c.cand_idx = b.
 GROUP BY k, policy HAVING recomputed <> saved""", "basic", "candidates")
 
 SQL["evaluate_distinct"] = q("""
-SELECT task_id, cand_idx, CASE WHEN parseable THEN list_sum(list_transform(list_filter(string_split(payload, ''), lambda c: c >= '0' AND c <= '9'),
-         lambda c: CAST(c AS INT))) % 2 = 0 END AS evaluated, CASE WHEN NOT parseable THEN 'parse_failed' END AS eval_error
-FROM candidates""", "candidates")
+SELECT task_id, cand_idx, CASE WHEN parseable AND s % 7 <> 0 THEN s % 2 = 0 END AS evaluated,
+       CASE WHEN NOT parseable THEN 'parse_failed' WHEN s % 7 = 0 THEN 'ValueError: no answer' END AS eval_error
+FROM (SELECT *, list_sum(list_transform(list_filter(string_split(payload, ''), lambda c: c >= '0' AND c <= '9'), lambda c: CAST(c AS INT))) AS s FROM candidates)""",
+                              "candidates")
 
 SQL["pos_neg_pairs"] = q(f"""
 SELECT task_id, k, pair_no, positive_index, negative_index, positive_score, negative_score FROM ({shared.pairs(4, "'x'", 8, "0")})""", "members")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from poolwise.functions.scalars import change_cause, paired_outcome
 from poolwise.operators.selection import pick_index, _flag, _slot_of
@@ -144,20 +146,43 @@ def reconcile_metrics(recomputed: DataFrame, saved: DataFrame, metrics: Sequence
     return joined.where(~F.coalesce(same, F.lit(False)))
 
 
+def guarded(function: Callable, kind: str) -> Callable[[Column], Column]:
+    """``function`` of one payload as an evaluator in Arrow batches whose failures are data: (value, error) per payload.
+
+    ``kind`` is the type of the value. What the function raises becomes the error, its type and message, and the value
+    is null; other payloads of the batch are not touched. Nulls are passed on to the function.
+    """
+    @F.pandas_udf(f"value {kind}, error string")
+    def evaluate(payload: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in payload:
+            try:
+                rows.append((function(None if x is None or x is pd.NA else x), None))
+            except Exception as problem:  # noqa: BLE001  the evaluator is the caller's
+                rows.append((None, f"{type(problem).__name__}: {problem}"))
+        return pd.DataFrame({"value": pd.Series([v for v, _ in rows], dtype=object), "error": pd.Series([e for _, e in rows], dtype=object)})
+    return evaluate
+
+
 def evaluate_distinct(rows: DataFrame, payload: str, evaluate: Callable[[Column], Column],
                       eligible: Column, name: str = "evaluated") -> DataFrame:
     """Run an expensive function once per distinct payload and join the result back.
 
-    Rows that are not eligible get no value and the error 'parse_failed'. The
-    flag is part of the join key, so such rows spread by payload and match
-    nothing; a very frequent payload is a single row on the evaluated side, and
-    AQE can split the other side.
+    Rows that are not eligible get no value and the error 'parse_failed'; an evaluator that returns (value, error), see
+    ``guarded``, gives other errors. A null payload is one like others. The flag is part of the join key, so such rows
+    spread by payload and match nothing; a very frequent payload is a single row on the evaluated side, and AQE can
+    split the other side.
     """
-    flagged = rows.withColumn("_eligible", eligible)
-    once = (flagged.where("_eligible").select(payload, "_eligible").distinct()
-            .withColumn(name, evaluate(F.col(payload))))
-    joined = flagged.join(once, [payload, "_eligible"], "left")
-    return joined.withColumn("eval_error", F.when(~F.col("_eligible"), "parse_failed")).drop("_eligible")
+    flagged = rows.withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
+    once = flagged.where("_eligible").select(F.col(payload).alias("_payload"), F.col("_eligible").alias("_asked")).distinct()
+    once = once.withColumn("_result", evaluate(F.col("_payload")))
+    pair = isinstance(once.schema["_result"].dataType, StructType) and once.schema["_result"].dataType.names == ["value", "error"]
+    once = once.withColumn("_value", F.col("_result.value") if pair else F.col("_result"))
+    once = once.withColumn("_problem", F.col("_result.error") if pair else F.lit(None).cast("string")).drop("_result")
+    same = F.col(payload).eqNullSafe(F.col("_payload")) & (F.col("_eligible") == F.col("_asked"))
+    joined = flagged.join(once, same, "left")
+    error = F.when(~F.col("_eligible"), "parse_failed").otherwise(F.col("_problem"))
+    return joined.select(*rows.columns, F.col("_value").alias(name), error.alias("eval_error"))
 
 
 def join_task_text(candidates: DataFrame, tasks: DataFrame) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import BooleanType
 
 from poolwise.functions.scalars import safe_rate
 from poolwise.operators import compare, metrics, mining, repair, selection as sel, splits
@@ -94,16 +92,18 @@ def reconcile_metrics(x: Inputs) -> DataFrame:
     return compare.reconcile_metrics(metrics.batch_metrics(picks, ["k", "policy"]), x.spark.read.parquet(path), names)
 
 
-@F.pandas_udf(BooleanType())
-def digit_sum_even(payload: pd.Series) -> pd.Series:
+def digit_sum_even(payload: str) -> bool:
     """A stand-in for an expensive evaluator: whether the digits of the payload add up to an even number."""
-    return payload.map(lambda text: sum(int(c) for c in text if c.isdigit()) % 2 == 0)
+    total = sum(int(c) for c in payload if c.isdigit())
+    if total % 7 == 0:
+        raise ValueError("no answer")
+    return total % 2 == 0
 
 
 @query("evaluate_distinct")
 def evaluate_distinct(x: Inputs) -> DataFrame:
     rows = x.candidates().select("task_id", "cand_idx", "parseable", "payload")
-    out = compare.evaluate_distinct(rows, "payload", lambda c: digit_sum_even(c), F.col("parseable"))
+    out = compare.evaluate_distinct(rows, "payload", compare.guarded(digit_sum_even, "boolean"), F.col("parseable"))
     return out.select("task_id", "cand_idx", "evaluated", "eval_error")
 
 
