@@ -17,62 +17,80 @@ BLOCK, QUERY_BLOCK = 2048, 1024
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(id, v as doubles): without vectors that are null, empty, zero or hold null or non-finite components."""
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
+    """(file, row, id, v as doubles): without vectors that are null, empty, zero or hold null or non-finite components."""
+    rows = common.with_row_numbers(vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")))
     finite = F.forall("v", lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
-    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
+    return rows.select("file", "row", "doc.*").where(
+        F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
-BLOCKS = "dim int, block int, ids binary, matrix binary, codes binary, scales binary, errors binary"
+FIELDS = {"ids": "<i8", "files": "<i8", "rows": "<i8", "matrix": "<f8", "codes": "i1", "scales": "<f8", "errors": "<f8"}
+BLOCKS = "dim int, block int, " + ", ".join(f"{f} binary" for f in FIELDS)
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v) as matrix blocks of about ``size`` vectors of one width, with int8 codes.
+    """Rows of ``usable`` as matrix blocks of about ``size`` vectors of one width, with int8 codes.
 
-    A vector is scale * code + rest; its error is the length of that rest.
+    A vector is scale * code + rest; its error is the length of that rest. Blocks are dealt by the rows' places in their
+    files, so repeated rows spread over all of them.
     """
     counts = {r["dim"]: r["n"] for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
     parts = F.coalesce(*[F.when(F.size("v") == d, F.lit(max(1, -(-n // size)))) for d, n in counts.items()], F.lit(1))
-    dealt = rows.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), parts).cast("int").alias("block"), "id", "v")
+    block = F.pmod(F.xxhash64("file", "row"), parts).cast("int")
+    dealt = rows.select(F.size("v").alias("dim"), block.alias("block"), "file", "row", "id", "v")
 
     def build(table: pa.Table) -> pa.Table:
         dim, block = table["dim"][0].as_py(), table["block"][0].as_py()
         matrix = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
         scales = np.abs(matrix).max(axis=1) / 127
         scales[scales == 0] = np.finfo(float).tiny
-        codes = np.clip(np.rint(matrix / scales[:, None]), -127, 127)
-        errors = np.linalg.norm(matrix - codes * scales[:, None], axis=1)
-        values = (dim, block, table["id"].to_numpy().astype("<i8").tobytes(), matrix.astype("<f8").tobytes(),
-                  codes.astype("i1").tobytes(), scales.astype("<f8").tobytes(), errors.astype("<f8").tobytes())
-        return pa.table([[v] for v in values], schema=pa.schema([
-            ("dim", pa.int32()), ("block", pa.int32()), *[(c, pa.binary()) for c in ("ids", "matrix", "codes", "scales", "errors")]]))
+        units = matrix / scales[:, None]
+        codes = np.clip(np.rint(units), -127, 127)
+        values = {"ids": table["id"], "files": table["file"], "rows": table["row"], "matrix": matrix, "codes": codes, "scales": scales,
+                  "errors": np.linalg.norm(units - codes, axis=1) * scales}
+        packed = [np.asarray(values[f]).astype(kind).tobytes() for f, kind in FIELDS.items()]
+        return pa.table([[v] for v in (dim, block, *packed)], schema=pa.schema([
+            ("dim", pa.int32()), ("block", pa.int32()), *[(f, pa.binary()) for f in FIELDS]]))
 
     return common.written(dealt.groupBy("dim", "block").applyInArrow(build, BLOCKS), "blocks")
 
 
 def distances(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows, added up from the first component to the last in double precision."""
-    total = np.zeros(len(queries))
-    for d in range(queries.shape[1]):
-        total += (queries[:, d] - vectors[:, d]) ** 2
-    return np.sqrt(total)
+    """Euclidean distances of rows, added up from the first component to the last in double precision.
+
+    Pairs whose squares would leave the range of doubles are scaled by a power of two, which changes no other digit.
+    """
+    gaps = queries - vectors
+    most = np.abs(gaps).max(axis=1, initial=0)
+    far = np.where(np.isfinite(most) & (most > 0) & ((most > 1e140) | (most < 1e-140)), np.frexp(most)[1], 0)
+    if far.any():
+        gaps = np.ldexp(gaps, -far[:, None])
+    total = np.zeros(len(gaps))
+    for d in range(gaps.shape[1]):
+        total += gaps[:, d] ** 2
+    return np.ldexp(np.sqrt(total), far)
 
 
 def tile(q: dict, v: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vector row, distance) of all pairs that can be among a query's ``k`` nearest of this tile.
 
     The int8 product gives the distance of the coded vectors; the true one differs by at most both errors, and a little
-    for the rounding of the bound itself.
+    for the rounding of the bound itself. The tile is scaled by a power of two to components of about 1, so that
+    squares of very large ones stay finite and those of very small ones, where they vanish, are within the bound.
     """
-    exact = 127 * 127 * q["codes"].shape[1] < 1 << 24  # sums of products are whole numbers that a float32 holds
+    dim = q["codes"].shape[1]
+    exact = 127 * 127 * dim < 1 << 24  # sums of products are whole numbers that a float32 holds
     kind = np.float32 if exact else np.float64
-    dot = (q["codes"].astype(kind) @ v["codes"].astype(kind).T).astype(float) * q["scales"][:, None] * v["scales"]
-    square = lambda x: (x["codes"].astype(float) ** 2).sum(axis=1) * x["scales"] ** 2
+    down = -int(np.frexp(max(q["scales"].max(), v["scales"].max()))[1])
+    scaled = lambda x, f: np.ldexp(x[f], down)
+    dot = (q["codes"].astype(kind) @ v["codes"].astype(kind).T).astype(float) * scaled(q, "scales")[:, None] * scaled(v, "scales")
+    square = lambda x: (x["codes"].astype(float) ** 2).sum(axis=1) * scaled(x, "scales") ** 2
     norms = square(q)[:, None] + square(v)
     near = np.sqrt(np.maximum(norms - 2 * dot, 0))
-    # Cancellation can leave an error of about eps * norms in the square, so its root in the distance.
-    error = q["errors"][:, None] + v["errors"] + np.sqrt(norms * 1e-13)
-    own = q["ids"][:, None] == v["ids"]
+    # Cancellation can leave an error of about eps * norms in the square, so its root in the distance; below 1e-150
+    # squares lose their digits.
+    error = scaled(q, "errors")[:, None] + scaled(v, "errors") + np.sqrt(norms * 1e-13) + 1e-150 * dim
+    own = (q["rows"][:, None] == v["rows"]) & (q["files"][:, None] == v["files"])
     upper = np.where(own, np.inf, near + error)
     limit = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(upper), np.inf)
     rows, cols = np.nonzero((near - error <= limit[:, None] * (1 + 1e-12)) & ~own)
@@ -82,23 +100,19 @@ def tile(q: dict, v: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The ``k`` nearest other vectors of each query: query_id, rank (from 1), vec_id, score (Euclidean distance).
 
-    Queries and vectors are cut into blocks; each pair of a query block and a vector block of the same width is a tile
-    with a key of its own, so tiles spread over all tasks however vectors are distributed. A tile's int8 product bounds
-    all distances, the pairs that may matter are computed exactly, and heaps of ``k`` per query merge the tiles of a
-    task; a window merges tasks. The result is exact. Ties go to the smaller id; of rows with one id, each takes part,
-    but not for a query of that id. Unusable vectors (see ``usable``) are left out; an empty table gives no rows.
+    Queries and vectors are cut into blocks; each pair of a query block and a vector block of the same width is a tile.
+    Vector blocks stay one row each, the few query blocks are copied to each of them. A tile's int8 product bounds all
+    distances, the pairs that may matter are computed exactly, and heaps of ``k`` per query merge the tiles of a task; a
+    window merges tasks. The result is exact. A query takes part as a candidate for others and for repeated rows of its
+    own id, but not for itself, which is its place in the table. Ties go to the smaller id. Unusable vectors (see
+    ``usable``) are left out; an empty table gives no rows.
     """
-    rows = usable(vectors, key, column)
+    rows = usable(common.scanned(vectors), key, column)
     left, right = blocks(rows.where(is_query), QUERY_BLOCK), blocks(rows, BLOCK)
-    sides = {"q": left, "v": right}
-    last = {s: t.groupBy("dim").agg(F.max("block").alias("last")) for s, t in sides.items()}
-    tiles = {}
-    for side, other in (("q", "v"), ("v", "q")):
-        named = sides[side].select("dim", *[F.col(c).alias(f"{side}_{c}") for c in sides[side].columns if c != "dim"])
-        tiles[side] = named.join(last[other], "dim").withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
-    joined = tiles["q"].join(tiles["v"], ["dim", "q_block", "v_block"])
-    fields = ("ids", "matrix", "codes", "scales", "errors")
-    kinds = {"ids": "<i8", "matrix": "<f8", "codes": "i1", "scales": "<f8", "errors": "<f8"}
+    named = {s: t.select("dim", *[F.col(c).alias(f"{s}_{c}") for c in t.columns if c != "dim"]) for s, t in (("q", left), ("v", right))}
+    last = right.groupBy("dim").agg(F.max("block").alias("last"))
+    asked = named["q"].join(last, "dim").withColumn("v_block", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
+    joined = asked.join(named["v"], ["dim", "v_block"])
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[tuple[int, int], list] = {}
@@ -106,7 +120,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
             for i in range(b.num_rows):
                 dim, sides = b["dim"][i].as_py(), {}
                 for side in "qv":
-                    x = {f: np.frombuffer(b[f"{side}_{f}"][i].as_py(), kinds[f]) for f in fields}
+                    x = {f: np.frombuffer(b[f"{side}_{f}"][i].as_py(), kind) for f, kind in FIELDS.items()}
                     sides[side] = x | {f: x[f].reshape(-1, dim) for f in ("matrix", "codes")}
                 found, cols, scores = tile(sides["q"], sides["v"], k)
                 names = sides["v"]["ids"]

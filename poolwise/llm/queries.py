@@ -160,15 +160,15 @@ def oracle_sql() -> dict[str, str]:
             FROM d LEFT JOIN kept k USING (id)""",
         "op2_nearest_neighbours": """
             WITH v AS (
-                SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+                SELECT row_number() OVER () AS place, vec_id, embedding::DOUBLE[] AS e FROM embeddings
                 WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
                   AND len(list_filter(embedding, lambda x: x <> 0)) > 0
             ), pairs AS (
-                SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(generate_series(1, len(q.e)),
+                SELECT q.place, q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(generate_series(1, len(q.e)),
                            lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) AS score
-                FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+                FROM v q JOIN v c ON q.place <> c.place AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
             ), ranked AS (
-                SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM pairs
+                SELECT *, row_number() OVER (PARTITION BY place ORDER BY score, vec_id)::INT AS rank FROM pairs
             )
             SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
         "op8_source_mixing": r"""
@@ -202,9 +202,10 @@ def oracle_sql() -> dict[str, str]:
             ), rated AS (
                 SELECT doc_id, size, source_size, target,
                        CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size::DOUBLE END AS rate,
-                       ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null') || '|' || size::VARCHAR), 1, 8))::BIGINT
+                       ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null') || '|' || size::VARCHAR
+                           || CASE WHEN occurrence > 1 THEN '|' || occurrence::VARCHAR ELSE '' END), 1, 8))::BIGINT
                        / 4294967296.0::DOUBLE AS uniform
-                FROM sized JOIN targets t ON sized.source IS NOT DISTINCT FROM t.source
+                FROM (SELECT *, row_number() OVER (PARTITION BY source, doc_id, size) AS occurrence FROM sized) sized JOIN targets t ON sized.source IS NOT DISTINCT FROM t.source
             )
             SELECT doc_id, size, source_size, target,
                    (floor(rate)::BIGINT + CASE WHEN uniform < rate - floor(rate) THEN 1 ELSE 0 END) * size AS taken
