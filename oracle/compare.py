@@ -58,7 +58,10 @@ SQL["reconcile_metrics"] = q("""
 SELECT k, policy, 'error_count' AS metric, CAST(count_if(has_error) AS DOUBLE) AS recomputed,
        CAST(count_if(b.selected_index IS NOT NULL AND c.error IS NOT NULL) AS DOUBLE) AS saved
 FROM basic b LEFT JOIN candidates c ON c.task_id = b.task_id AND c.cand_idx = b.selected_index
-GROUP BY k, policy HAVING recomputed <> saved""", "basic", "candidates")
+GROUP BY k, policy HAVING recomputed <> saved
+UNION ALL SELECT k, policy, 'avg_parseable_candidates', round(sum(parseable_count) / count(*), 9) AS recomputed,
+       round(sum(parseable_count) / count_if(parseable_count > 0), 9) AS saved
+FROM basic JOIN pool_stats USING (task_id, k) GROUP BY k, policy HAVING recomputed <> saved""", "basic", "candidates", "pool_stats")
 
 SQL["evaluate_distinct"] = q("""
 SELECT task_id, cand_idx, CASE WHEN parseable AND s % 7 <> 0 THEN s % 2 = 0 END AS evaluated,

@@ -33,7 +33,7 @@ define("lowest", pick("lowest_parseable", "cand_idx", "parseable", NO_PARSE, "lo
 define("basic", "SELECT * FROM greedy UNION ALL SELECT * FROM drawn UNION ALL SELECT * FROM ranked",
        "greedy", "drawn", "ranked")
 
-# Solvable candidates within the tie margin of the top score, searched row by row.
+# Solvable candidates within the tie margin of the top score, which one window gives to each row.
 define("tiebreak", """
 SELECT r.task_id, r.k, 'verifier_then_solvable_tiebreak' AS policy, coalesce(n.cand_idx, r.selected_index) AS selected_index,
        CASE WHEN r.selected_index IS NULL THEN 'no_parseable_candidate' WHEN n.cand_idx IS NOT NULL
@@ -42,9 +42,9 @@ SELECT r.task_id, r.k, 'verifier_then_solvable_tiebreak' AS policy, coalesce(n.c
        coalesce(n.solvable, r.solvable) AS solvable, r.has_error AND n.cand_idx IS NULL AS has_error,
        coalesce(n.score, r.score) AS score
 FROM ranked r LEFT JOIN (
-  SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY p.task_id, p.k ORDER BY p.score DESC, p.cand_idx) AS rn
-    FROM pool p JOIN ranked t USING (task_id, k)
-    WHERE p.parseable AND p.solvable AND t.score - p.score <= 0.02::DOUBLE) WHERE rn = 1) n USING (task_id, k)""",
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id, k ORDER BY score DESC, cand_idx) AS rn
+    FROM (SELECT *, max(score) FILTER (parseable) OVER (PARTITION BY task_id, k) AS top FROM pool)
+    WHERE parseable AND solvable AND top - score <= 0.02::DOUBLE) WHERE rn = 1) n USING (task_id, k)""",
        "ranked", "pool")
 define("search", "SELECT * FROM ranked UNION ALL SELECT * FROM solvable_ranked UNION ALL SELECT * FROM tiebreak "
        "UNION ALL SELECT * FROM first_solvable", "ranked", "solvable_ranked", "tiebreak", "first_solvable")

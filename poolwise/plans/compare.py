@@ -82,14 +82,19 @@ def policy_vs_baseline(x: Inputs) -> DataFrame:
 
 @query("reconcile_metrics")
 def reconcile_metrics(x: Inputs) -> DataFrame:
-    """Recomputed metrics against a saved table that counts only errors the provider reported."""
+    """Recomputed metrics and pool averages against a saved table that counts only errors the provider reported and
+    averages over pools with a parseable candidate."""
     picks = x.basic(reasons=False)
     path = work_path(x.spark, "saved-metrics")
-    saved = metrics.batch_metrics(picks, ["k", "policy"])
-    own = picks.groupBy("k", "policy").agg(F.count_if("selected_has_error").alias("error_count"))
-    saved.drop("error_count").join(own, ["k", "policy"]).write.parquet(path)
-    names = ["total", "parse_count", "equiv_count", "error_count", "parse_rate", "equiv_rate", "equiv_given_parse"]
-    return compare.reconcile_metrics(metrics.batch_metrics(picks, ["k", "policy"]), x.spark.read.parquet(path), names)
+    summary = metrics.policy_summary(picks)
+    own = picks.groupBy("k", "policy").agg(
+        F.count_if("selected_has_error").alias("error_count"),
+        (F.sum("parseable_count") / F.count_if(F.col("parseable_count") > 0)).alias("avg_parseable_candidates"))
+    summary.drop("error_count", "avg_parseable_candidates").join(own, ["k", "policy"]).write.parquet(path)
+    names = ["total", "parse_count", "equiv_count", "error_count", "parse_rate", "equiv_rate", "equiv_given_parse",
+             "avg_parseable_candidates", "avg_equivalent_candidates", "oracle_bestofk_equiv_rate"]
+    found = compare.reconcile_metrics(summary, x.spark.read.parquet(path), names)
+    return found.select("k", "policy", "metric", *[F.round(c, 9).alias(c) for c in ("recomputed", "saved")])
 
 
 def digit_sum_even(payload: str) -> bool:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from poolwise.operators import mining, selection as sel
 from poolwise.operators.metrics import batch_metrics
@@ -75,10 +75,10 @@ class Inputs:
         return batch_metrics(picks, ["seed"])
 
     def model_pools(self) -> tuple[DataFrame, DataFrame]:
-        """Each task once per generator model, and the candidates renumbered within their model."""
+        """Each task once per generator model, and the first eight candidates of each model, numbered within it.
+
+        The numbers come from the raw order with a limit per (task, model), so they are trimmed before the shuffle.
+        """
         models = F.array(*[F.lit(f"model_{i}") for i in range(3)])
         tasks = self.tasks().select("task_id", "seed", "domain", F.explode(models).alias("model"))
-        order = W.partitionBy("task_id", "model").orderBy("cand_idx")
-        own = (self.candidates().withColumn("_rn", F.row_number().over(order)).where("_rn <= 8")
-               .withColumn("cand_idx", F.col("_rn") - 1).drop("_rn"))
-        return tasks, own
+        return tasks, t.candidates(self.spark, self.dir, 8, per_model=True)

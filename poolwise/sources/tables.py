@@ -38,20 +38,23 @@ def styled_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "style", style_label(F.col("init_is_abstract"), F.col("goal_is_abstract")))
 
 
-def candidates(spark: SparkSession, sf_dir: str, max_k: int | None = None, numbered: bool = True) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, max_k: int | None = None, numbered: bool = True,
+               per_model: bool = False) -> DataFrame:
     """Candidates of every task, numbered from 0.
 
     With ``max_k`` only the first ``max_k`` of each task are numbered at all. The
     filter sits on the bare row number, so Spark trims each task before the
     shuffle (WindowGroupLimit) and a task with very many rows stays small.
     Without it every row gets its number, unless ``numbered`` is off: then there
-    is no ``cand_idx`` and nothing is shuffled.
+    is no ``cand_idx`` and nothing is shuffled. With ``per_model`` a task's
+    candidates are numbered (and limited) for each generator model apart.
     """
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
     rows = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", *order, "l_returnflag", "l_linestatus", "l_quantity")
     if max_k is not None:
-        rows = top_per_group(rows, ["l_orderkey"], order, max_k)
+        keys = ["l_orderkey", "_model"] if per_model else ["l_orderkey"]
+        rows = top_per_group(rows.withColumn("_model", F.col("l_suppkey") % 3), keys, order, max_k)
     elif numbered:
         rows = number_rows(rows, "l_orderkey", order)
     pk, sk, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber").cast("bigint")
