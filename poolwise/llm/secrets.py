@@ -20,8 +20,11 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 #: Runs are maximal, so a run of the least length is the same as a run that is measured afterwards.
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "grammar")
-#: What may be a credential of another kind: a long run of credential characters with a digit and a letter.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: What may be a credential of another kind: a run of credential characters, as long as the shortest labelled ones, with a
+#: digit and a letter (runs of letters alone are words: they are as likely as credentials by their classes).
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+#: Characters of a credential that have states of their own; those behind them share one state.
+DEPTH = 64
 #: Labelled credentials per kind that an automaton is inferred from, significance of its merges, and the share of
 #: labelled credentials whose likelihood may lie below the threshold.
 SAMPLE, ALPHA, MISSED = 400, 0.05, 0.02
@@ -43,40 +46,59 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidate_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, run) of the candidates that touch no span of ``taken``."""
+    """(start, end, run) of the candidates that are no part of a span of ``taken``; they may hold one as a part."""
     ends = sorted((s, e) for s, _, e, _ in taken)
     out = []
     for m in CANDIDATE.finditer(text):
         run = m.group()
         if run.isalpha() or not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
             continue
-        if not any(s < m.end() and m.start() < e for s, e in ends):
+        if not any(s <= m.start() and m.end() <= e for s, e in ends):
             out.append((m.start(), m.end(), run))
     return out
 
 
+TAIL = 1
+
+
+def classes(text: str) -> Counter:
+    """How often each symbol occurs."""
+    out: Counter = Counter()
+    for c, n in Counter(text).items():
+        out[CLASS_OF[c]] += n
+    return out
+
+
 class Automaton:
     """A probabilistic automaton over CLASSES, merged from the prefix tree of examples (ALERGIA).
 
-    A state is [arrivals, ends, {symbol: [uses, next state]}].
+    A state is [arrivals, ends, {symbol: [uses, next state]}]. State 1 is where examples are behind their first DEPTH
+    characters: it leads to itself, so states are bounded whatever the length of the examples.
     """
 
     def __init__(self, examples: list[str], alpha: float = ALPHA):
-        self.states = [[0, 0, {}]]
+        self.states = [[0, 0, {}], [0, 0, {}]]
         for word in examples:
             at = 0
             self.states[0][0] += 1
-            for c in word:
-                step = self.states[at][2].setdefault(CLASS_OF[c], [0, len(self.states)])
-                if step[1] == len(self.states):
-                    self.states.append([0, 0, {}])
-                step[0] += 1
-                at = step[1]
-                self.states[at][0] += 1
+            for c in word[:DEPTH]:
+                at = self._step(at, CLASS_OF[c], None)
+            if len(word) > DEPTH:
+                at = self._step(at, CLASS_OF[word[DEPTH]], TAIL)
+                for symbol, n in classes(word[DEPTH + 1:]).items():
+                    self._step(TAIL, symbol, TAIL, n)
             self.states[at][1] += 1
         self.factor = math.sqrt(0.5 * math.log(2 / alpha))
         self.infer()
 
+    def _step(self, at: int, symbol: int, to: int | None, times: int = 1) -> int:
+        step = self.states[at][2].setdefault(symbol, [0, len(self.states) if to is None else to])
+        if step[1] == len(self.states):
+            self.states.append([0, 0, {}])
+        step[0] += times
+        self.states[step[1]][0] += times
+        return step[1]
+
     def differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         """Hoeffding's bound: the two observed shares can't come from one probability."""
         return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > self.factor * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -84,7 +106,10 @@ class Automaton:
     def compatible(self, a: int, b: int) -> bool:
         stack = [(a, b)]
         while stack:
-            x, y = (self.states[s] for s in stack.pop())
+            pair = stack.pop()
+            if TAIL in pair:
+                continue
+            x, y = (self.states[s] for s in pair)
             if self.differ(x[1], x[0], y[1], y[0]):
                 return False
             for symbol in x[2].keys() | y[2].keys():
@@ -100,6 +125,8 @@ class Automaton:
         stack = [(into, tree)]
         while stack:
             a, b = stack.pop()
+            if TAIL in (a, b):
+                continue
             x, y = self.states[a], self.states[b]
             x[0] += y[0]
             x[1] += y[1]
@@ -112,7 +139,7 @@ class Automaton:
 
     def infer(self) -> None:
         """Red states are settled; each state that one leads to merges with a compatible red one or turns red."""
-        red = [0]
+        red = [0, TAIL]
         while True:
             fringe = [(s, symbol) for s in red for symbol, (_, t) in sorted(self.states[s][2].items()) if t not in red]
             if not fringe:
@@ -131,6 +158,10 @@ class Automaton:
         at, total = 0, 0.0
         for k, c in enumerate(word):
             arrivals, _, steps = self.states[at]
+            if at == TAIL:  # which leads to itself only: the rest in any order
+                for symbol, n in classes(word[k:]).items():
+                    total += n * (math.log(steps.get(symbol, (0.5, None))[0] / (arrivals + 1)) - WIDTH[symbol])
+                break
             symbol = CLASS_OF[c]
             uses, target = steps.get(symbol, (0.5, None))
             total += math.log(uses / (arrivals + 1)) - WIDTH[symbol]
