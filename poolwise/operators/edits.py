@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from poolwise.operators import facts as text_form
 from poolwise.operators.facts import ALL_TYPES, Corruption
 from poolwise.operators.ordering import top_per_group
+from poolwise.session import work_path
 
 SECTIONS = ("objects", "init", "goal")
 EDIT = ("task_id", "attempt", "kind", "section", "pos", "op", "fact")
@@ -35,6 +36,13 @@ def section_sizes(facts: DataFrame) -> DataFrame:
     return facts.groupBy("task_id").agg(*[F.count_if(F.col("section") == s).cast("int").alias(f"n_{s}") for s in SECTIONS])
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a written table: a few rows per task that are used more than once."""
+    path = work_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class Editor:
     """Seeded edits of a fact table. ``settings`` are those of the text form; draws are the same."""
 
@@ -133,6 +141,8 @@ class Editor:
         rows = facts.join(slots, "task_id").where(self._eligible())
         picks = top_per_group(rows.withColumn("_h", self._hash(F.col("kind"), F.col("pos"))), ["task_id", "attempt", "kind"],
                               ["_h", "pos"], 2 if "swap_objects" in kinds else 1)
+        if len(kinds) > 1:
+            picks = stored(picks.drop("_h"), "picks")
         parts = []
         if set(kinds) - {"add_object", "swap_objects", "swap_named"}:
             parts.append(self._one_place(picks.where("rn = 1"), sizes))
@@ -159,13 +169,13 @@ class Editor:
         pool = every
         for domain, kinds in ({} if allowed else pools or {}).items():
             pool = F.when(F.col("domain") == domain, F.array(*[F.lit(k) for k in kinds])).otherwise(pool)
-        sizes = section_sizes(facts)
+        sizes = stored(section_sizes(facts), "sizes")
         tries = (sizes.select("task_id").join(tasks.select("task_id", "domain"), "task_id", "left")
                  .withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(3 * n)))))
         number = self._below(self._hash(F.lit("type")), F.size(pool))
         slots = tries.select("task_id", "attempt", F.get(pool, number).alias("kind"))
         kinds = {*(allowed or ALL_TYPES), *(k for p in ({} if allowed else pools or {}).values() for k in p)}
-        found = self._edits(facts, slots, sizes, sorted(kinds))
+        found = stored(self._edits(facts, slots, sizes, sorted(kinds)), "edits")
         kept = top_per_group(found.select("task_id", "attempt").distinct(), ["task_id"], ["attempt"], n)
         return found.join(kept, ["task_id", "attempt"]).select(*EDIT, "rn")
 
@@ -174,7 +184,7 @@ class Editor:
 
         Returns (task_id, kind) of all tasks, and the edits; tasks too small for their kind stay as they are.
         """
-        sizes = section_sizes(facts)
+        sizes = stored(section_sizes(facts), "sizes")
         names = F.array(*[F.lit(k) for k in ("reorder_goal", "drop_init", "add_object")])
         slots = sizes.select("task_id", F.lit(None).cast("int").alias("attempt"))
         slots = slots.withColumn("kind", F.get(names, self._below(self._hash(F.lit("simple")), 3)))
@@ -186,7 +196,7 @@ class Editor:
         moved = two.groupBy("task_id", "attempt", "kind").agg(pair.alias("two")).where(F.size("two") == 2).select(
             "task_id", "attempt", "kind", F.lit("goal").alias("section"), F.inline(swap))
         other = self._edits(facts, slots, sizes, ["drop_init", "add_object"])
-        return slots.select("task_id", "kind"), moved.unionByName(other)
+        return slots.select("task_id", "kind"), stored(moved.unionByName(other), "edits")
 
 
 def applied(facts: DataFrame, edits: DataFrame, by: Sequence[str] = ("task_id",)) -> DataFrame:

@@ -28,7 +28,7 @@ def extract_section(x: Inputs) -> DataFrame:
 
 @query("explode_facts")
 def explode_facts(x: Inputs) -> DataFrame:
-    return x.facts().where("section <> 'objects'").select(
+    return x.facts(stored=False).where("section <> 'objects'").select(
         "task_id", "section", "pos", F.get("w", F.lit(0)).alias("pred"),
         F.array_join(F.slice("w", 2, F.size("w")), " ").alias("args"))
 
@@ -44,7 +44,7 @@ def _shown(rows: DataFrame) -> DataFrame:
 @query("render_artifact")
 def render_artifact(x: Inputs) -> DataFrame:
     """Text built from the fact table; equal to the original artifact."""
-    return edits.render(_shown(x.facts()), _head())
+    return edits.render(_shown(x.facts(stored=False)), _head())
 
 
 def _corrupt(name: str, kind: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from poolwise.operators import mining, selection as sel
 from poolwise.operators.metrics import batch_metrics
+from poolwise.session import work_path
 from poolwise.sources import tables as t
 
 
@@ -15,7 +16,7 @@ class Inputs:
     """Views of one (session, folder) for one query. All build plans only, but numbering all candidates writes them, once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self._numbered = spark, sf_dir, None
+        self.spark, self.dir, self._numbered, self._slots = spark, sf_dir, None, None
 
     def tasks(self) -> DataFrame:
         return t.styled_tasks(self.spark, self.dir)
@@ -40,8 +41,17 @@ class Inputs:
     def artifacts(self) -> DataFrame:
         return t.artifacts(self.candidates())
 
-    def facts(self) -> DataFrame:
-        return t.facts(self.candidates())
+    def facts(self, stored: bool = True) -> DataFrame:
+        """The facts of all artifacts; ``stored`` where a query reads them more than once, so that candidates are
+        numbered once."""
+        if not stored:
+            return t.facts(self.candidates())
+        if self._slots is None:
+            path = work_path(self.spark, "slots")
+            rows = self.candidates().select("task_id", "cand_idx", "payload", "model")
+            rows.write.parquet(path)
+            self._slots = self.spark.read.schema(rows.schema).parquet(path)
+        return t.facts(self._slots)
 
     def aggregates(self, *attrs: str, ks: Sequence[int] = sel.K_VALUES, alphas: Sequence[float] = ()) -> DataFrame:
         tasks = self.tasks().select("task_id", *attrs)
