@@ -17,7 +17,7 @@ from poolwise.llm import common
 WORDS, SIMILARITY = 5, 0.8
 #: Sampled tokens (minima of as many hash functions) that a set is embedded by.
 TOKENS = 64
-#: A pair at the similarity is found with at least this probability; it fixes the number of runs.
+#: A pair at the similarity is found with at least this probability; it fixes AGREE and the number of runs.
 RECALL = 0.999999
 #: Buckets up to BUCKET sets are compared by brute force: a set meets at most so many others there, some microseconds of
 #: work, less than its FANOUT rows in a split cost. Larger ones are split on FANOUT sampled tokens, at most DEPTH times.
@@ -25,8 +25,6 @@ RECALL = 0.999999
 #: pairs of blocks of BLOCK sets share it.
 BUCKET, FANOUT, DEPTH, BLOCK = 1024, 4, 4, 1024
 DENSE = 1 / FANOUT
-#: Pairs that agree on fewer sampled tokens are not compared exactly: five standard deviations below the expectation.
-AGREE = math.floor(TOKENS * (SIMILARITY - 5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / TOKENS)))
 MASK = (1 << 64) - 1
 
 _rng = np.random.default_rng(20240229)
@@ -34,11 +32,39 @@ _FACTOR, _FACTOR2 = (_rng.integers(1, 1 << 31, TOKENS, dtype=np.uint32)[:, None]
 _SHIFT = _rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32)[:, None]
 
 
+def agreeing(n: int, tokens: int = TOKENS, similarity: float = SIMILARITY) -> float:
+    """Probability that a pair at the similarity agrees on exactly ``n`` of its sampled tokens."""
+    return math.comb(tokens, n) * similarity ** n * (1 - similarity) ** (tokens - n)
+
+
+def unlike(least: int, similarity: float = SIMILARITY) -> float:
+    """Probability that a pair at the similarity agrees on fewer than ``least`` of all sampled tokens."""
+    return sum(agreeing(n, TOKENS, similarity) for n in range(least))
+
+
+#: Pairs that agree on fewer sampled tokens are not compared exactly: at most a quarter of what RECALL allows to lose.
+AGREE = max(n for n in range(TOKENS) if unlike(n) <= (1 - RECALL) / 4)
+
+
+def apart(n_runs: int, similarity: float = SIMILARITY) -> float:
+    """Probability that no run brings a pair at the similarity together.
+
+    Each run's root splits on a token of its own. Later splits try FANOUT different ones of the other tokens, which all
+    runs share, so the number of those that the pair agrees on is summed over; a pair parts where it shares none tried.
+    """
+    rest, out = TOKENS - n_runs, 0.0
+    for n in range(rest + 1):
+        one = similarity * (1 - math.comb(rest - n, FANOUT) / math.comb(rest, FANOUT)) ** DEPTH
+        out += agreeing(n, rest, similarity) * (1 - one) ** n_runs
+    return out
+
+
 def runs(recall: float = RECALL, similarity: float = SIMILARITY) -> int:
-    """Runs until the target recall. A run's root splits on one sampled token, which a pair shares with probability
-    ``similarity``; each later split tries FANOUT tokens, and a pair is lost there if it shares none of them."""
-    one = similarity * (1 - (1 - similarity) ** FANOUT) ** DEPTH
-    return math.ceil(math.log(1 - recall) / math.log(1 - one))
+    """Runs until the target recall, of which the pairs that AGREE leaves out take their part."""
+    for n in range(1, TOKENS - FANOUT):
+        if apart(n, similarity) + unlike(AGREE, similarity) <= 1 - recall:
+            return n
+    raise ValueError(f"{TOKENS} sampled tokens can't reach a recall of {recall}")
 
 
 class _Words(dict):
@@ -122,7 +148,9 @@ def leaves(sets: DataFrame, n_runs: int) -> DataFrame:
         big = level.where(F.col("rows") > BUCKET)
         if big.isEmpty():
             return _union(done)
-        coordinate = lambda j: n_runs + F.pmod(F.xxhash64("leaf", F.lit(j)), F.lit(TOKENS - n_runs))
+        # Tokens at even distances from a place that the node draws are different ones.
+        rest = TOKENS - n_runs
+        coordinate = lambda j: n_runs + (F.pmod(F.xxhash64("leaf"), F.lit(rest)) + j * (rest // FANOUT)) % rest
         child = lambda j: F.struct((F.col("slot") * FANOUT + n_runs + j).alias("slot"), F.xxhash64(
             F.col("leaf"), F.lit(j), F.element_at("tokens", (coordinate(j) + 1).cast("int"))).alias("leaf"))
         split = big.join(sets.select("key", "tokens"), "key").select(

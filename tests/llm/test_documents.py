@@ -121,6 +121,36 @@ def test_a_large_group_of_near_copies_is_counted_whole(spark, monkeypatch):
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in rows) == sorted(brute_classes(texts)[0])
 
 
+def test_buckets_are_split_at_the_production_values(spark):
+    """A passage in all texts, about a fifth of each pair's shingles, fills buckets beyond BUCKET; its copies are found."""
+    assert (jaccard.BUCKET, jaccard.BLOCK) == (1024, 1024)
+    passage = " ".join(f"p{j}" for j in range(25))
+    texts = [(k, passage + "".join(f" u{k}x{j}" for j in range(39))) for k in range(3600)]
+    for k in range(200):  # one word changed, at the end or in the middle: similarities of 59/61 and 55/65
+        words = texts[k * 17][1].split()
+        words[-1 if k % 2 else 45] = f"edit{k}"
+        texts.append((10_000 + k, " ".join(words)))
+    df = common.written(spark.createDataFrame(texts, "doc_id long, text string"), "texts")
+    sets = common.written(jaccard.embed(df).select("key", "tokens"), "sets")
+    leaves = jaccard.leaves(sets, jaccard.runs())
+    assert leaves.where(f"slot >= {jaccard.runs()}").count() > 1000  # below the roots
+    want = {k: (k, 0) for k in range(3600)} | {k * 17: (k * 17, 1) for k in range(200)}
+    want |= {10_000 + k: (k * 17, 1) for k in range(200)}
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows_of(jaccard.classes(df))} == want
+
+
+def test_losses_of_the_join_stay_within_the_recall():
+    assert jaccard.apart(jaccard.runs()) + jaccard.unlike(jaccard.AGREE) <= 1 - jaccard.RECALL
+    assert jaccard.runs(0.99) < jaccard.runs() < jaccard.runs(0.9999999)
+    rng = np.random.default_rng(11)
+    agree = []
+    for _ in range(3000):  # 80 of 100 codes in common
+        codes = rng.integers(0, 1 << 63, 100, dtype="u8")
+        agree.append(int((jaccard.embedding(codes[:90]) == jaccard.embedding(codes[10:])).sum()))
+    for least in (46, 49, 52):
+        assert np.mean(np.array(agree) < least) == pytest.approx(jaccard.unlike(least), abs=0.03)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)]
     got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
