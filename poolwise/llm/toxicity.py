@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,10 +19,10 @@ from poolwise.llm import common
 TOKEN = re.compile(r"[^\W_]+")
 #: Labelled documents that the classifier is fitted on at most, those with the smallest hashes of their ids.
 SAMPLE = 30_000
-#: Lengths of stems; whole words up to LONGEST characters are terms, too, marked by END.
-STEMS, LONGEST, END = (4, 5, 6, 7), 24, "$"
-#: Terms kept at most, those with the strongest evidence; terms of at least FUZZY characters may be misspelled.
-TERMS, FUZZY = 20_000, 5
+#: Lengths of stems; whole words of any length are terms, too, marked by END.
+STEMS, END = (4, 5, 6, 7), "$"
+#: Terms of at least FUZZY characters may be misspelled.
+FUZZY = 5
 #: Tokens to each side of a hit, and characters in which a quotation must open and close.
 NEAR, QUOTE = 10, 80
 OPEN_QUOTES, CLOSE_QUOTES = '"“„«»', '"”“«»'
@@ -105,9 +105,10 @@ class Model:
 
     def __init__(self, terms: list[str], weights: list[float] | None = None):
         self.terms, self.weights = terms, weights
+        self.digest = hashlib.sha256("\n".join(terms).encode("utf-8", "surrogatepass")).digest()
 
     def features(self, text: str) -> list[float]:
-        automaton, known = _automaton(tuple(self.terms))
+        automaton, known = self.automaton()
         low = text.lower()
         words = TOKEN.findall(low)
         rest = [w for w in set(words) if w not in known]
@@ -130,6 +131,13 @@ class Model:
         density = 100 * plain / max(1, len(words))
         return [math.log1p(x) for x in (plain, misspelled, beside, quoted, density)]
 
+    def automaton(self) -> tuple[LexiconAutomaton, dict[str, int]]:
+        """The automaton and the words known so far: one of each in a worker, whatever the number of its tasks."""
+        if self.digest not in _built:
+            _built.clear()
+            _built[self.digest] = LexiconAutomaton(self.terms), {}
+        return _built[self.digest]
+
     @staticmethod
     def in_quotes(text: str, start: int, end: int) -> bool:
         """A quotation mark opens shortly before the hit and one closes it shortly after, in the same line."""
@@ -144,9 +152,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
-@lru_cache(maxsize=2)
-def _automaton(terms: tuple[str, ...]) -> tuple[LexiconAutomaton, dict[str, int]]:
-    return LexiconAutomaton(terms), {}
+_built: dict[bytes, tuple[LexiconAutomaton, dict[str, int]]] = {}
 
 
 def logistic(features: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None, penalty: float = 0.1) -> list[float]:
@@ -175,8 +181,8 @@ def _term_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     toxic, clean = Counter(), Counter()
     for b in batches:
         for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-            words = {w for w in TOKEN.findall(text.as_py().lower()) if len(w) >= STEMS[0]}
-            terms = {w[:n] for w in words for n in STEMS if len(w) >= n} | {w + END for w in words if len(w) <= LONGEST}
+            words = set(TOKEN.findall(text.as_py().lower()))
+            terms = {w[:n] for w in words for n in STEMS if len(w) >= n} | {w + END for w in words}
             (toxic if label == 1 else clean).update(terms)
     # A term without toxic documents can't be chosen.
     names = list(toxic)
@@ -192,6 +198,7 @@ def lexicon(sample: DataFrame) -> list[str]:
 
     Evidence is the likelihood ratio G of a term's documents against the share of toxic ones; chance among all terms
     tried reaches 2 ln(terms) + 4 in few cases. Of terms that begin alike the one with the most evidence stays.
+    The terms are words of the sample, so their number is bounded by it.
     """
     counts = sample.select("text", "toxic").mapInArrow(_term_counts, "term string, n long")
     sums = counts.groupBy("term").agg(F.sum(F.greatest("n", F.lit(0))).alias("a"), F.sum(-F.least("n", F.lit(0))).alias("b"))
@@ -207,17 +214,24 @@ def lexicon(sample: DataFrame) -> list[str]:
     # Half of a term's documents at least are toxic, and clearly more than of all documents.
     sure = scored.where((F.col("a") >= F.greatest(F.lit(0.5), F.lit(min(0.95, 2 * p))) * (F.col("a") + F.col("b")))
                         & (F.col("g") >= 2 * math.log(max(tried, 1)) + 4))
-    rows = sure.orderBy(F.desc("g"), F.desc(F.length("term")), "term").limit(TERMS).collect()
-    kept: list[str] = []
-    stems, beginnings = set(), set()
-    for r in rows:
-        plain = r["term"].removesuffix(END)
-        starts = {plain[:n] for n in range(1, len(plain) + 1)}
-        if plain in beginnings or starts & stems:
+    rows = sure.orderBy(F.desc("g"), F.desc(F.length("term")), "term").select("term").collect()
+    return unlike_beginnings(r["term"] for r in rows)
+
+
+def unlike_beginnings(terms: Iterable[str]) -> list[str]:
+    """The terms of which none begins like an earlier one, that is, neither is the other's beginning."""
+    kept, tree = [], {}
+    for term in terms:
+        plain, at, k = term.removesuffix(END), tree, 0
+        while k < len(plain) and plain[k] in at:
+            at, k = at[plain[k]], k + 1
+            if not at:  # an earlier term ends here
+                break
+        if k == len(plain) or k and not at:
             continue
-        kept.append(r["term"])
-        stems.add(plain)
-        beginnings |= starts
+        kept.append(term)
+        for c in plain[k:]:
+            at[c] = at = {}
     return kept
 
 

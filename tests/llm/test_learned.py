@@ -136,6 +136,29 @@ def test_toxicity_counts_a_repeated_document_once(spark):
     assert often.score("you idiot") > 0.5 > often.score(words[0])
 
 
+def test_short_and_long_words_are_terms(spark):
+    rng = np.random.default_rng(8)
+    words, long = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40)], "".join(rng.choice(list("jklm"), 5000))
+    bad = ("oik", "ux", long)
+    docs = [(k, " ".join(rng.choice(words, 8)) + (f" {bad[k % 3]}" if k % 2 else " oikos fux")) for k in range(900)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in docs], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    assert {"oik$", "ux$"} < set(model.terms) and len(model.terms) == 3
+    assert all(model.score(f"{words[0]} {w} {words[1]}") > 0.5 for w in bad) and model.score("oikos fux uxo " + words[2]) < 0.5
+
+
+def test_terms_that_begin_alike():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        terms = ["".join(rng.choice(list("ab"), rng.integers(1, 6))) + ("$" if rng.integers(2) else "") for _ in range(12)]
+        want = []
+        for term in terms:
+            plain = term.removesuffix("$")
+            if not any(plain.startswith(w.removesuffix("$")) or w.removesuffix("$").startswith(plain) for w in want):
+                want.append(term)
+        assert toxicity.unlike_beginnings(terms) == want
+
+
 def test_weighted_rows_fit_like_repeated_ones():
     rng = np.random.default_rng(7)
     x, y, n = rng.normal(size=(50, 5)), rng.integers(0, 2, 50).astype(float), rng.integers(1, 9, 50)
