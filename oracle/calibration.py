@@ -126,3 +126,11 @@ SELECT e.label, e.score, coalesce(before, 0) < floor(total * 0.5::DOUBLE) AS fir
   SELECT template_id, sum(n) OVER (ORDER BY md5(concat_ws('|', '123', template_id)), template_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
     sum(n) OVER () AS total FROM (SELECT template_id, count(*) AS n FROM examples GROUP BY template_id)) USING (template_id)""",
                      fitted_rows="SELECT * FROM split_rows WHERE first", applied_rows="SELECT * FROM split_rows WHERE NOT first", **_views)
+
+# A fit at its optimum has no gradient; without a penalty on the intercept the scores of the rows fitted have the mean of their labels.
+SQL["scorer_optimum"] = q("""
+SELECT count(*) AS n, count_if(label = 1) AS positives, true AS optimal, round(avg(label), 3) AS mean_score
+FROM (SELECT e.label, coalesce(before, 0) < floor(total * 0.85::DOUBLE) AS train FROM examples e JOIN (
+  SELECT template_id, sum(n) OVER (ORDER BY md5(concat_ws('|', '42', template_id)), template_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+    sum(n) OVER () AS total FROM (SELECT template_id, count(*) AS n FROM examples GROUP BY template_id)) USING (template_id)) WHERE train""", "examples")
+SQL["pair_scorer_optimum"] = q("SELECT 2 * count(*) AS n, count(*) AS positives, true AS optimal FROM pairs", "pairs")

@@ -12,6 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 
+#: Strength of the penalty, iterations and relative tolerance of the fits: they go on to the optimum.
+PENALTY, ITERATIONS, TOLERANCE = 0.01, 200, 1e-12
+
+
+def regression(**kwargs) -> LogisticRegression:
+    return LogisticRegression(regParam=PENALTY, maxIter=ITERATIONS, tol=TOLERANCE, **kwargs)
+
+
 def text_features(input_col: str, size: int = 1 << 12, idf: bool = True) -> list:
     stages = [RegexTokenizer(inputCol=input_col, outputCol="tokens", pattern=r"[\W_]+"),
               HashingTF(inputCol="tokens", outputCol="tf" if idf else "features", numFeatures=size)]
@@ -20,7 +28,7 @@ def text_features(input_col: str, size: int = 1 << 12, idf: bool = True) -> list
 
 def fit_scorer(rows: DataFrame, text: str = "text", label: str = "label", size: int = 1 << 12) -> PipelineModel:
     """Pointwise scorer trained with log loss."""
-    lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=0.01, maxIter=20)
+    lr = regression(featuresCol="features", labelCol=label)
     return Pipeline(stages=[*text_features(text, size), lr]).fit(rows)
 
 
@@ -41,20 +49,68 @@ def pair_differences(pairs: DataFrame, positive: str, negative: str, size: int =
                        F.when(F.col("order") > 0, 1).otherwise(0).alias("label"))
 
 
-def fit_pair_scorer(pairs: DataFrame, positive: str = "positive_payload", negative: str = "negative_payload",
-                    size: int = 256, pointwise: DataFrame | None = None,
-                    weights: tuple[float, float] = (0.5, 0.5)) -> LogisticRegressionModel:
-    """Scorer trained with the pairwise logistic loss softplus(-(s+ - s-)).
-
-    That loss is a logistic regression without intercept on feature differences.
-    With ``pointwise`` (text, label) rows the two losses are mixed by weight.
-    """
+def pair_rows(pairs: DataFrame, positive: str = "positive_payload", negative: str = "negative_payload", size: int = 256,
+              pointwise: DataFrame | None = None, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
+    """features, label, weight: what a pair scorer is fitted on. With ``pointwise`` (text, label) rows the two losses are
+    mixed by weight."""
     data = pair_differences(pairs, positive, negative, size).withColumn("weight", F.lit(float(weights[1])))
     if pointwise is not None:
         model = Pipeline(stages=text_features("text", size, idf=False)).fit(pointwise)
         points = model.transform(pointwise).select("features", "label", F.lit(float(weights[0])).alias("weight"))
         data = data.unionByName(points)
-    return LogisticRegression(fitIntercept=False, weightCol="weight", regParam=0.01, maxIter=20).fit(data)
+    return data
+
+
+def fit_pair_rows(data: DataFrame) -> LogisticRegressionModel:
+    """Scorer of ``pair_rows``, trained with the pairwise logistic loss softplus(-(s+ - s-)): a logistic regression
+    without intercept on feature differences."""
+    return regression(fitIntercept=False, weightCol="weight").fit(data)
+
+
+def fit_pair_scorer(pairs: DataFrame, positive: str = "positive_payload", negative: str = "negative_payload",
+                    size: int = 256, pointwise: DataFrame | None = None,
+                    weights: tuple[float, float] = (0.5, 0.5)) -> LogisticRegressionModel:
+    return fit_pair_rows(pair_rows(pairs, positive, negative, size, pointwise, weights))
+
+
+def gradient(rows: DataFrame, model: LogisticRegressionModel) -> DataFrame:
+    """(place, gradient): derivative of the penalised loss for each scaled coefficient, -1 for the intercept.
+
+    ``rows`` (features, label, weight) are those that the model was fitted on. Only nonzero features are exploded and
+    summed per place, so the result, like the table of coefficients joined to it, has as many rows as the model has
+    features. The penalty is on coefficients times the standard deviation of their feature; a feature that doesn't vary
+    has no coefficient.
+    """
+    v = F.unwrap_udt("features")
+    entry = lambda i, x: F.struct(i.cast("int").alias("place"), x.alias("value"))
+    listed = F.when(v["type"] == 0, F.zip_with(v["indices"], v["values"], entry)).otherwise(
+        F.transform(v["values"], lambda x, i: entry(i, x)))
+    miss = F.get(vector_to_array("probability"), F.lit(1)) - F.col("label")
+    scored = model.transform(rows).select((miss * F.col("weight")).alias("miss"), "weight",
+                                          F.filter(listed, lambda e: e["value"] != 0).alias("entries"))
+    w, ww, missed = scored.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("weight")), F.sum("miss")).first()
+    w, ww, missed = w or 0.0, ww or 0.0, missed or 0.0
+    x = F.col("e.value")
+    sums = scored.select("miss", "weight", F.explode("entries").alias("e")).groupBy("e.place").agg(
+        F.sum(F.col("miss") * x).alias("slope"), F.sum(F.col("weight") * x).alias("x"), F.sum(F.col("weight") * x * x).alias("xx"))
+    coefficients = [(k, float(c)) for k, c in enumerate(model.coefficients.toArray())]
+    known = rows.sparkSession.createDataFrame(coefficients, "place int, coefficient double")
+    spread = F.sqrt(F.greatest(F.col("xx") - F.col("x") * F.col("x") / w, F.lit(0.0)) / (w - ww / w)) if w * w > ww else F.lit(0.0)
+    each = sums.join(known, "place").withColumn("spread", spread).where("spread > 1e-12").select(
+        "place", (F.col("slope") / F.col("spread") / F.lit(w) + model.getRegParam() * F.col("coefficient") * F.col("spread")).alias("gradient"))
+    if model.getFitIntercept():
+        own = rows.sparkSession.createDataFrame([(-1, missed / w if w else 0.0)], "place int, gradient double")
+        each = each.unionByName(own)
+    return each
+
+
+def optimum(rows: DataFrame, model: LogisticRegressionModel, limit: float = 1e-6) -> DataFrame:
+    """One row: n, positives, mean_score, optimal. The penalised loss is convex, so a gradient whose length is below
+    ``limit`` shows that the fit has ended at its only minimum."""
+    length = gradient(rows, model).agg(F.sqrt(F.sum(F.col("gradient") * F.col("gradient")))).first()[0] or 0.0
+    chance = F.get(vector_to_array("probability"), F.lit(1))
+    return model.transform(rows).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positives"),
+                                     F.avg(chance).alias("mean_score")).withColumn("optimal", F.lit(length < limit))
 
 
 def score_pairs(rows: DataFrame, make_predict: Callable, inputs: Sequence[str], batch_size: int = 1024,

@@ -133,6 +133,30 @@ def fit_hybrid_scorer(x: Inputs) -> DataFrame:
     return _pair_model(x, points)
 
 
+@query("scorer_optimum")
+def scorer_optimum(x: Inputs) -> DataFrame:
+    """The pointwise fit judged on its training rows; the intercept has no penalty, so the mean score is that of the labels."""
+    rows = splits.split_by_template(x.examples(), "template_id").where("split = 'train'")
+    *features, model = scorer.fit_scorer(rows).stages
+    for stage in features:
+        rows = stage.transform(rows)
+    out = scorer.optimum(rows.select("features", "label", F.lit(1.0).alias("weight")), model)
+    return out.withColumn("mean_score", F.round("mean_score", 3))
+
+
+@query("pair_scorer_optimum")
+def pair_scorer_optimum(x: Inputs) -> DataFrame:
+    rows = scorer.pair_rows(mining.mine_pairs(x.members()))
+    return scorer.optimum(rows, scorer.fit_pair_rows(rows)).drop("mean_score")
+
+
+@query("hybrid_scorer_optimum")
+def hybrid_scorer_optimum(x: Inputs) -> DataFrame:
+    points = mining.ranking_examples(x.members()).select(F.col("payload").alias("text"), "label")
+    rows = scorer.pair_rows(mining.mine_pairs(x.members()), pointwise=points)
+    return scorer.optimum(rows, scorer.fit_pair_rows(rows)).drop("mean_score")
+
+
 def length_share():
     """A stand-in model: share of the payload in the joint length of text and payload."""
     import numpy as np

@@ -93,3 +93,31 @@ def test_sample_of_any_share(spark, n):
 def test_sample_of_a_repeated_key(spark):
     rows = spark.range(900).select(F.when(F.col("id") < 600, 5).otherwise(F.col("id")).alias("key"))
     assert ordering.sample_n(rows, 450, "key").count() == 450
+
+
+def test_gradient_of_a_fit_equals_the_loss_formula(spark):
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    from poolwise.operators import scorer
+    draw = np.random.default_rng(5)
+    x, weight = draw.normal(size=(300, 6)) * (draw.random((300, 6)) < .4), draw.integers(1, 4, 300).astype(float)
+    x[:, 5] = 0
+    y = (x[:, 0] - x[:, 1] + draw.normal(size=300) > 0).astype(int)
+    vectors = [Vectors.dense(r) if k % 2 else Vectors.sparse(6, {int(j): float(r[j]) for j in np.flatnonzero(r)})
+               for k, r in enumerate(x)]
+    rows = spark.createDataFrame([(v, int(b), float(w)) for v, b, w in zip(vectors, y, weight)], ["features", "label", "weight"])
+    early = LogisticRegression(weightCol="weight", regParam=.01, maxIter=1).fit(rows)
+    total = weight.sum()
+    spread = np.sqrt(((weight[:, None] * x * x).sum(0) - (weight[:, None] * x).sum(0) ** 2 / total) / (total - (weight ** 2).sum() / total))
+    miss = weight * (1 / (1 + np.exp(-(x @ early.coefficients.toArray() + early.intercept))) - y)
+    want = {-1: miss.sum() / total} | {k: miss @ x[:, k] / spread[k] / total + .01 * early.coefficients[k] * spread[k] for k in range(5)}
+    got = {r.place: r.gradient for r in scorer.gradient(rows, early).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    assert not scorer.optimum(rows, early).first().optimal
+    best = scorer.regression(weightCol="weight").fit(rows)
+    assert scorer.optimum(rows, best).first().asDict() == {
+        "n": 300, "positives": int(y.sum()), "optimal": True, "mean_score": pytest.approx(best.transform(rows).agg(
+            F.avg(F.get(scorer.vector_to_array("probability"), F.lit(1)))).first()[0])}
+    assert scorer.optimum(rows.where("false"), best).first().n == 0
