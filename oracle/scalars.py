@@ -1,11 +1,36 @@
 """Expected results of the scalar and string queries."""
 
 from oracle.views import q
-from poolwise.functions import text as X
-from poolwise.plans.scalars import CONTEXTS
 
 SQL = {}
-SPECIAL = {"beta": "Mend the problem below and answer with nothing else.\n\nUse the names of the task."}
+# Prompt format, written out here so that the expected results don't take them from the library.
+SYSTEM_PROMPT = """You are an expert AI planning assistant that translates natural language task descriptions into PDDL (Planning Domain Definition Language) problem files.
+
+Given a natural language description of a planning task in a known domain, generate ONLY the PDDL problem definition. Output nothing else -- no explanations, no commentary, just the PDDL problem wrapped in a code block.
+
+Requirements:
+- Output must be a valid PDDL problem definition starting with (define (problem ...)
+- Include all required sections: :domain, :requirements, :objects, :init, :goal
+- Use :strips requirement unless the domain requires :typing
+- Ensure balanced parentheses
+- List ALL objects mentioned or implied by the description
+- Include ALL initial state predicates described
+- Include ALL goal conditions described"""
+REPAIR_PROMPT = (
+    "You are an expert AI planning assistant. A candidate PDDL problem was generated from a natural "
+    "language description but may contain errors. Fix the PDDL to accurately represent the described "
+    "task. Output ONLY the corrected PDDL problem definition -- no explanations.")
+CONTEXTS = {
+    "alpha": """Domain: Blocksworld (STRIPS)
+Predicates: (clear ?x), (on-table ?x), (arm-empty), (holding ?x), (on ?x ?y)
+Actions: pickup, putdown, stack, unstack
+Objects are blocks named b1, b2, b3, etc.""",
+    "beta": """Domain: Gripper (STRIPS)
+Predicates: (room ?r), (ball ?b), (gripper ?g), (at-robby ?r), (at ?b ?r), (free ?g), (carry ?o ?g)
+Actions: move, pick, drop
+Rooms are typically rooma, roomb. Grippers are left, right. Balls are ball1, ball2, etc.""",
+}
+SPECIAL ={"beta": "Mend the problem below and answer with nothing else.\n\nUse the names of the task."}
 # The white space class as a pattern.
 WS = (r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
@@ -46,7 +71,7 @@ def lookup(table: dict, tail: str = "") -> str:
 
 
 NL = "chr(10)"
-PROMPT = f"""concat({s(X.SYSTEM_PROMPT)}, {NL}, {NL}, coalesce({lookup(CONTEXTS)} || {NL} || {NL}, ''),
+PROMPT = f"""concat({s(SYSTEM_PROMPT)}, {NL}, {NL}, coalesce({lookup(CONTEXTS)} || {NL} || {NL}, ''),
   'Task description:', {NL}, nl, {NL}, {NL}, 'PDDL problem definition:')"""
 FEEDBACK = """concat('The candidate PDDL parses successfully. The current verifier score for this candidate is ',
   printf('%.4f', original_score), '. A lightweight planner check says the candidate is ',
@@ -57,7 +82,7 @@ FEEDBACK = """concat('The candidate PDDL parses successfully. The current verifi
 
 def repair_prompt(feedback: str) -> str:
     return f"""concat(coalesce({lookup(SPECIAL)},
-      concat({s(X.REPAIR_PROMPT)}, coalesce({NL} || {NL} || {lookup(CONTEXTS)}, ''))), {NL}, {NL},
+      concat({s(REPAIR_PROMPT)}, coalesce({NL} || {NL} || {lookup(CONTEXTS)}, ''))), {NL}, {NL},
       'Task description:', {NL}, nl, {NL}, {NL}, 'Candidate PDDL (may contain errors):', {NL}, original_payload, {NL}, {NL},
       CASE WHEN {feedback} <> '' THEN concat('Issues identified: ', {feedback}, {NL}, {NL}) ELSE '' END,
       'Corrected PDDL problem definition:')"""

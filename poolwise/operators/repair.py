@@ -12,8 +12,11 @@ from poolwise.functions import scalars as S
 GUARD_MARGINS = (0.0, 0.01, 0.02, 0.05)
 
 
-def apply_repair(rows: DataFrame, margin: float | None = None) -> DataFrame:
-    """Final flags and their source: unconditional repair, or guarded with a score margin."""
+FINAL = ("policy", "guard_accepted", "final_source", "final_parseable", "final_correct", "outcome")
+
+
+def _final(margin: float | None) -> Column:
+    """The columns of ``FINAL`` as a struct: unconditional repair, or guarded with a score margin."""
     if margin is None:
         accepted = F.col("repair_parseable")
         guard = F.lit(None).cast("boolean")
@@ -27,10 +30,19 @@ def apply_repair(rows: DataFrame, margin: float | None = None) -> DataFrame:
         policy = "verifier_ranked_repair_guarded"
     final_correct = F.when(accepted, F.col("repair_correct")).otherwise(F.col("original_correct"))
     final_parseable = F.when(accepted, F.col("repair_parseable")).otherwise(F.lit(True))
-    return rows.select(
-        "*", F.lit(policy).alias("policy"), guard.alias("guard_accepted"), source.alias("final_source"),
-        final_parseable.alias("final_parseable"), final_correct.alias("final_correct"),
-        S.repair_outcome(F.col("original_correct"), final_correct).alias("outcome"))
+    outcome = S.repair_outcome(F.col("original_correct"), final_correct)
+    values = (F.lit(policy), guard, source, final_parseable, final_correct, outcome)
+    return F.struct(*[v.alias(n) for n, v in zip(FINAL, values, strict=True)])
+
+
+def apply_repair(rows: DataFrame, margin: float | None = None) -> DataFrame:
+    """Final flags and their source: unconditional repair, or guarded with a score margin."""
+    return rows.select("*", *[_final(margin)[n].alias(n) for n in FINAL])
+
+
+def apply_repairs(rows: DataFrame, margins: Sequence[float | None]) -> DataFrame:
+    """``apply_repair`` for each of ``margins`` (None: unconditional) in one pass over the repairs."""
+    return rows.select("*", F.inline(F.array(*[_final(m) for m in margins])))
 
 
 def repair_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

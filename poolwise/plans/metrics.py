@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwise.operators import calibration as cal, compare, failures, gates, metrics, ordering, repair, selection as sel
 from poolwise.plans.inputs import Inputs
@@ -84,9 +84,7 @@ def bucket_counts(x: Inputs) -> DataFrame:
 @query("repair_metrics")
 def repair_metrics(x: Inputs) -> DataFrame:
     """Both policies, by domain."""
-    rows = x.repairs()
-    free, guarded = repair.apply_repair(rows), repair.apply_repair(rows, 0.05)
-    return repair.repair_metrics(free.unionByName(guarded), ["policy", "domain"])
+    return repair.repair_metrics(repair.apply_repairs(x.repairs(), [None, 0.05]), ["policy", "domain"])
 
 
 @query("outcome_counts")
@@ -251,19 +249,21 @@ def gate_fresh_repair(x: Inputs) -> DataFrame:
 @query("gate_final_repair")
 def gate_final_repair(x: Inputs) -> DataFrame:
     """Guarded repair against ranked selection, with unguarded repair as the comparison policy."""
-    rows = x.repairs()
-    guarded, free = repair.apply_repair(rows, 0.05), repair.apply_repair(rows)
+    rows = repair.apply_repairs(x.repairs(), [0.05, None])
     base = x.seed_rates().select("seed", "total", F.col("equiv_rate").alias("baseline_rate"))
 
-    def per_seed(df: DataFrame, prefix: str) -> DataFrame:
-        return df.groupBy("seed").agg(
-            F.count_if("final_correct").alias(f"{prefix}correct"),
-            (F.count_if("final_parseable") / F.count(F.lit(1))).alias(f"{prefix}repair_parse_rate"),
-            F.count_if(F.col("outcome") == "repair_helped").alias(f"{prefix}helped"),
-            F.count_if(F.col("outcome") == "repair_hurt").alias(f"{prefix}hurt"),
-            F.count_if((F.col("outcome") == "repair_hurt") & (F.col("domain") == "alpha")).alias(f"{prefix}focus_hurt"))
-
-    seeds = (base.join(per_seed(guarded, ""), "seed").join(per_seed(free, "comparison_"), "seed")
+    def sums(policy: str, prefix: str) -> list[Column]:
+        here, hurt = F.col("policy") == policy, F.col("outcome") == "repair_hurt"
+        return [
+            F.count_if(here & F.col("final_correct")).alias(f"{prefix}correct"),
+            (F.count_if(here & F.col("final_parseable")) / F.count_if(here)).alias(f"{prefix}repair_parse_rate"),
+            F.count_if(here & (F.col("outcome") == "repair_helped")).alias(f"{prefix}helped"),
+            F.count_if(here & hurt).alias(f"{prefix}hurt"),
+            F.count_if(here & hurt & (F.col("domain") == "alpha")).alias(f"{prefix}focus_hurt")]
+
+    per_seed = rows.groupBy("seed").agg(*sums("verifier_ranked_repair_guarded", ""),
+                                        *sums("verifier_ranked_repair", "comparison_"))
+    seeds = (base.join(per_seed, "seed")
              .withColumn("repair_rate", F.col("correct") / F.col("total"))
              .withColumn("comparison_rate", F.col("comparison_correct") / F.col("total")))
     out = gates.gate_final_repair(seeds, require_hurt_reduction=True)

@@ -122,10 +122,8 @@ def repair_accept(x: Inputs) -> DataFrame:
 @query("repair_final")
 def repair_final(x: Inputs) -> DataFrame:
     """Both policies on the same repairs."""
-    rows = x.repairs()
-    cols = ["task_id", "policy", "guard_accepted", "final_source", "final_parseable", "final_correct"]
-    free, guarded = repair.apply_repair(rows).select(*cols), repair.apply_repair(rows, 0.05).select(*cols)
-    return free.unionByName(guarded)
+    rows = repair.apply_repairs(x.repairs(), [None, 0.05])
+    return rows.select("task_id", "policy", "guard_accepted", "final_source", "final_parseable", "final_correct")
 
 
 @query("repair_outcome")
